@@ -1,0 +1 @@
+"""Spatio-temporal voxel analytics on Spark DataFrames."""
