@@ -31,6 +31,13 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: Texts whose digest occurs once are kept out of the shuffle by a Bloom filter on the digests that occur more often.
+_FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(8 << 30),
 }
 
 
@@ -47,7 +54,7 @@ def _settings(spark: SparkSession, values: dict[str, str]):
 
 
 def sha256_hex(text: Column) -> Column:
-    return F.sha2(F.encode(text, "UTF-8"), 256)
+    return F.sha2(text.cast("binary"), 256)
 
 
 class KeyedState:
@@ -120,19 +127,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = staged(state.table(), "state")
     many = held.where("n > 1")
 
-    # Full bytes on hits: each member of a group of two or more against the keeper's bytes.
-    bodies = rows.select("id", "body", digest(F.col("body")).alias("digest"))
+    # Full bytes on hits: the members of groups of two or more, each against the keeper's bytes.
+    bodies = rows.select("id", "body", digest(F.col("body")).alias("digest"), F.input_file_name().alias("file"))
+    with _settings(spark, _FILTER):
+        hits = staged(bodies.join(many.select(F.col("digest").alias("d")), F.col("digest") == F.col("d"), "left_semi"), "hits")
     keeper = (
         many.select(F.col("digest").alias("d"), "keeper_id", "locator")
-        .join(
-            bodies.select(F.col("digest").alias("d2"), F.col("id").alias("i2"), F.col("body").alias("kept_body"), F.input_file_name().alias("l2")),
-            F.expr("d = d2 and keeper_id <=> i2 and locator <=> l2"),
-        )
+        .join(hits.select(F.col("digest").alias("d2"), F.col("id").alias("i2"), F.col("body").alias("kept_body"), "file"), F.expr("d = d2 and keeper_id <=> i2 and locator <=> file"))
         .groupBy("d")
         .agg(F.max("kept_body").alias("kept_body"))
     )
     unequal = staged(
-        bodies.join(keeper.withColumn("d", F.concat("d", F.lit(""))), F.concat("digest", F.lit("")) == F.col("d"))
+        hits.join(keeper.withColumn("d", F.concat("d", F.lit(""))), F.concat("digest", F.lit("")) == F.col("d"))
         .where("body <> kept_body")
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("misses")),
