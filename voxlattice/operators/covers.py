@@ -44,7 +44,7 @@ def cover_one(kind: str, points: np.ndarray, faces: list[np.ndarray], radius: fl
     if kind == "tube":
         return shapes.tube(points, radius, z)
     if kind == "solid":
-        return shapes._union([shapes.polygon(f, z) for f in faces]) if surface else shapes.solid(faces, z)
+        return shapes.triangles_cover([t for f in faces for t in shapes.polygon_triangles(f)], z) if surface else shapes.solid(faces, z)
     raise GeometryError(f"no shape {kind}")
 
 
@@ -58,7 +58,16 @@ def cover(table: DataFrame, z: int, surface: bool = False) -> DataFrame:
                 for a in range(0, len(v), _BATCH):
                     yield _rows(r["shape_id"], z, v[a : a + _BATCH])
 
-    return table.select("shape_id", "kind", "points", "faces", "radius").mapInArrow(run, "shape_id long, z int, f int, x int, y int")
+    return _dealt(table).mapInArrow(run, "shape_id long, z int, f int, x int, y int")
+
+
+def _dealt(table: DataFrame) -> DataFrame:
+    """Shapes are small and their covers are not: they are spread over all cores before they grow.
+
+    The number of partitions is given, as AQE would put such small rows back into one.
+    """
+    n = 4 * table.sparkSession.sparkContext.defaultParallelism
+    return table.select("shape_id", "kind", "points", "faces", "radius").repartition(n, "shape_id")
 
 
 def _rows(shape_id: int, z: int, v: np.ndarray) -> pa.RecordBatch:
@@ -80,7 +89,7 @@ def cover_ranges(table: DataFrame, z: int) -> DataFrame:
                     names=["shape_id", "z", "f0", "f1", "x", "y"],
                 )
 
-    return table.select("shape_id", "kind", "points", "faces", "radius").mapInArrow(run, "shape_id long, z int, f0 int, f1 int, x int, y int")
+    return _dealt(table).mapInArrow(run, "shape_id long, z int, f0 int, f1 int, x int, y int")
 
 
 def cover_points(table: DataFrame, z: int) -> DataFrame:

@@ -190,7 +190,7 @@ def single_ids(blocks: DataFrame) -> DataFrame:
     df = blocks.withColumn("z", F.greatest("fz", "xz", "yz"))
     for a in AXES:
         s = shift_left(F.lit(1).cast("long"), F.col("z") - F.col(f"{a}z"))
-        df = df.withColumn(a, F.explode(F.sequence(F.col(f"{a}i") * s, (F.col(f"{a}i") + 1) * s - 1)).cast("int"))
+        df = df.withColumn(a, F.explode(F.sequence(F.col(f"{a}i") * s, (F.col(f"{a}i") + 1) * s - 1).cast("array<int>")))
     return df.select("z", *AXES, *[c for c in blocks.columns if c not in FLEX[:6]])
 
 

@@ -118,11 +118,21 @@ def triangle(corners: np.ndarray, z: int, min_steps: int = 0) -> np.ndarray:
     The triangle is cut so that no part spans much more than 8 voxels. One that stays inside a voxel along every axis
     is cut into none and covers nothing, unless ``min_steps`` asks for parts.
     """
-    f = np.floor(fractional(corners, z))
-    steps = max(math.ceil((f.max(0) - f.min(0)).max() / 8), min_steps)
-    if steps == 0:
+    return triangles_cover([corners], z, min_steps)
+
+
+def triangles_cover(triangles: list[np.ndarray], z: int, min_steps: int = 0) -> np.ndarray:
+    """The union of the triangles' voxels; all their parts are tested together."""
+    if not triangles:
         return np.zeros((0, 3), np.int64)
-    return _parts_cover(triangle_parts(corners, steps), z)
+    f = np.floor(fractional(np.concatenate(triangles), z)).reshape(-1, 3, 3)
+    steps = np.maximum(np.ceil((f.max(1) - f.min(1)).max(1) / 8).astype(int), min_steps)
+    parts = [triangle_parts(t, int(n)) for t, n in zip(triangles, steps, strict=True) if n]
+    return _parts_cover(np.concatenate(parts), z) if parts else np.zeros((0, 3), np.int64)
+
+
+def _cross3(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([a[:, 1] * b[:, 2] - a[:, 2] * b[:, 1], a[:, 2] * b[:, 0] - a[:, 0] * b[:, 2], a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]], 1)
 
 
 def _parts_cover(parts: np.ndarray, z: int, most: int = 100_000) -> np.ndarray:
@@ -132,8 +142,8 @@ def _parts_cover(parts: np.ndarray, z: int, most: int = 100_000) -> np.ndarray:
     size = hi - lo + 1
     n = size.prod(1)
     a, b, c = p[:, 1] - p[:, 0], p[:, 0] - p[:, 2], p[:, 2] - p[:, 1]
-    normal = np.cross(b, a)
-    inward = [np.cross(normal, v) for v in (a, c, b)]
+    normal = _cross3(b, a)
+    inward = [_cross3(normal, v) for v in (a, c, b)]
     found, first = [], 0
     while first < len(p):
         last = max(first + 1, int(np.searchsorted(np.cumsum(n[first:]), most, side="right")) + first)
@@ -206,7 +216,7 @@ def _union(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def polygon(vertices: np.ndarray, z: int, min_steps: int = 0) -> np.ndarray:
-    return _union([triangle(t, z, min_steps) for t in polygon_triangles(vertices)])
+    return triangles_cover(polygon_triangles(vertices), z, min_steps)
 
 
 def open_edges(faces: list[np.ndarray], epsilon: float) -> int:
@@ -228,7 +238,7 @@ def solid(faces: list[np.ndarray], z: int, epsilon: float = 1e-6, check: bool =
     faces = [f for f in faces if len(f)]
     if check and (not faces or (n := open_edges(faces, epsilon))):
         raise GeometryError(f"the solid is open at {n if faces else 0} edges")
-    surface = _union([polygon(f, z) for f in faces])
+    surface = triangles_cover([t for f in faces for t in polygon_triangles(f)], z)
     if not len(surface):
         return surface
     lo = surface.min(0)

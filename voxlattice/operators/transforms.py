@@ -145,7 +145,7 @@ def zoom_out(frame: VoxelFrame, z: int, policy: MergePolicy, weight: str = "cell
         for a in AXES:
             up, down = F.greatest(F.col(f"{a}z") - z, F.lit(0)), F.greatest(F.lit(z) - F.col(f"{a}z"), F.lit(0))
             first = shift_left(shift_right(F.col(f"{a}i"), up).cast("long"), down)
-            df = df.withColumn(a, F.explode(F.sequence(first, first + shift_left(F.lit(1).cast("long"), down) - 1)).cast("int"))
+            df = df.withColumn(a, F.explode(F.sequence(first, first + shift_left(F.lit(1).cast("long"), down) - 1).cast("array<int>")))
         order = F.struct("fz", "fi", "xz", "xi", "yz", "yi")
     else:
         df = frame.df.withColumn("seq", _order(frame))

@@ -197,7 +197,7 @@ _register("cell_count", lambda s, d: cells_li(s, d).df.agg(F.count(F.lit(1)).ali
 _register(
     "single_ids",
     lambda s, d: lookups.single_ids(_target_blocks(s, d).withColumns({"xz": F.lit(16), "xi": F.col("xi") * 2})).select("z", "f", "x", "y").distinct(),
-    f"SELECT DISTINCT 16 AS z, CAST(tf * 2 + i AS INT) f, CAST(tx * 2 AS INT) x, CAST(ty * 2 + j AS INT) y FROM cells_li , {_T15} , range(0, 2) a(i), range(0, 2) b(j) WHERE cells_li.f = -3 AND cells_li.x = (SELECT min(x) FROM cells_li WHERE f = -3)",
+f"SELECT DISTINCT 16 AS z, CAST(tf * 2 + i AS INT) f, CAST(tx * 2 AS INT) x, CAST(ty * 2 + j AS INT) y FROM {_T15} , range(0, 2) a(i), range(0, 2) b(j)",
 )
 
 # Identifiers -----------------------------------------------------------------------------------------------------------------
