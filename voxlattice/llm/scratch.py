@@ -38,3 +38,13 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python by the thousand instead of by ten thousand, unless the session says otherwise.
+
+    A batch's bytes are those of its texts, so this bounds what a worker holds.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
