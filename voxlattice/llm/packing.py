@@ -18,8 +18,10 @@ itself; ids may be null; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,52 +30,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlattice.llm.scratch import staged
+from voxlattice.llm.scratch import small_arrow_batches, staged
 
 END_ID = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_WORDS_HELD = 300_000
+_WORDS_HELD = 400_000
 
 _tokenizers: dict[str, object] = {}
 
 
 class ChunkTokenizer:
-    """Ids of whole texts through a tokenizer whose words never span white space.
+    """Ids of whole texts through a tokenizer that lowers case, drops white space and splits letters from the rest.
 
-    Texts are split at white space, each distinct chunk is encoded once (and held, up to a bound) and the texts'
-    ids are gathered from the chunks'. The ids are those of encoding the text whole; texts with the control
-    characters on whose nature splitters disagree go to the tokenizer as they are.
+    Texts are lowered and cut at white space and around runs of what is neither letter nor digit: the tokenizer's own
+    word boundaries. Each distinct chunk is encoded once (and held, up to a bound) and the texts' ids are gathered
+    from the chunks'. The ids are those of encoding the text whole. Texts with an apostrophe (which may bind to letters),
+    with combining marks, with control characters on whose nature splitters disagree, or with letters whose lower form depends on their neighbours or is several characters go
+    to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.base = Tokenizer.from_file(path)
         self.base.encode_special_tokens = True
-        self.held: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.held: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begins, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.base.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, first = int(lengths.sum()), len(self.held)
+        while self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while first + len(words) > len(self.begins):
+            self.begins, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.lengths))
+        self.pool[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
+        self.lengths[first : first + len(words)] = lengths
+        self.begins[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.used += n
+        self.held.update(zip(words, range(first, first + len(words)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in one array, where each text's begin and the end)."""
-        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False).astype(bool)
-        chunks = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        odd = pc.match_substring_regex(texts, r"['\x0b\x1c-\x1f\x{130}\x{3a3}\p{M}]").to_numpy(zero_copy_only=False).astype(bool)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        cut = pc.replace_substring_regex(pc.utf8_lower(plain), r"([^\s\p{L}\p{N}]+)", r" \1 ")
+        chunks = pc.utf8_split_whitespace(cut)
         flat = pc.list_flatten(chunks).dictionary_encode()
         words = flat.dictionary.to_pylist()
         new = [w for w in words if w not in self.held]
-        if len(self.held) + len(new) > _WORDS_HELD:
-            self.held.clear()
+        if len(self.held) + len(new) > _WORDS_HELD and self.held:
+            self._clear()
             new = words
-        for w, e in zip(new, self.base.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.held[w] = np.array(e.ids, np.uint32)
-        parts = [self.held[w] for w in words]
-        if len(self.held) > _WORDS_HELD:
-            self.held.clear()
-        lengths = np.array([len(p) for p in parts], np.int64)
-        pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        codes = flat.indices.to_numpy(zero_copy_only=False)
-        n = lengths[codes]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.held.__getitem__, words), np.int64, len(words))[flat.indices.to_numpy(zero_copy_only=False)]
+        n = self.lengths[at]
         ends = np.cumsum(n)
-        ids = pool[np.repeat(begins[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.pool[np.repeat(self.begins[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
         bounds = np.concatenate([[0], ends])[offsets]
         if odd.any():
@@ -111,6 +131,7 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000):
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: full windows and a last shorter piece per document."""
+    small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encode(batches):
