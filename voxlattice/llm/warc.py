@@ -251,8 +251,10 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_warc(pages, path)
+    # The archive is parsed once; what the joins need of its records is light.
+    records = staged(read_warc(spark, path, keep_payload=False), "records")
     captures = staged(
-        assemble(read_warc(spark, path, keep_payload=False)).select(
+        assemble(records).select(
             "capture_id",
             "uri",
             F.regexp_extract(F.decode("metadata.payload", "UTF-8"), r"page_id: (-?\d+)", 1).cast("long").alias("page_id"),
@@ -263,7 +265,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     whole = captures.where("type = 'response'").select(
         F.col("capture_id").alias("source"), F.col("page_id").alias("source_page"), F.col("payload_bytes").alias("source_bytes"), F.col("payload_digest").alias("source_digest")
     ).dropDuplicates(["source"])
-    return captures.drop("payload").join(whole, F.col("refers_to") == F.col("source"), "left").select(
+    return captures.drop("payload").join(whole, F.concat("refers_to", F.lit("")) == F.concat("source", F.lit("")), "left").select(
         "page_id",
         F.coalesce("source_bytes", "payload_bytes").alias("payload_bytes"),
         F.coalesce("source_digest", "payload_digest").alias("payload_digest"),
