@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlattice.domain import CALENDAR
@@ -202,16 +202,19 @@ f"SELECT DISTINCT 16 AS z, CAST(tf * 2 + i AS INT) f, CAST(tx * 2 AS INT) x, CAS
 
 # Identifiers -----------------------------------------------------------------------------------------------------------------
 
-_CELL = [F.col(c) for c in ("z", "f", "x", "y")]
+
+def _cell() -> list[Column]:
+    return [F.col(c) for c in ("z", "f", "x", "y")]
+
 
 
 def _cells(s, d) -> DataFrame:
     return cells_li(s, d).cells()
 
 
-_register("parents", lambda s, d: _cells(s, d).select(F.col("value"), F.explode(ids.parents(*_CELL)).alias("c")).select("value", "c.*"), "SELECT value, CAST(k AS INT) z, CAST(f >> CAST(16 - k AS INT) AS INT) f, CAST(x >> CAST(16 - k AS INT) AS INT) x, CAST(y >> CAST(16 - k AS INT) AS INT) y FROM cells_li , range(0, 16) r(k)")
-_register("children", lambda s, d: _cells(s, d).where("value = 50").select(F.explode(ids.children(*_CELL, 17)).alias("c")).select("c.*"), "SELECT 17 z, CAST(f * 2 + a AS INT) f, CAST(x * 2 + b AS INT) x, CAST(y * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c) WHERE value = 50")
-_register("siblings", lambda s, d: _cells(s, d).where("value = 50").select(F.explode(ids.siblings(*_CELL)).alias("c")).select("c.*"), "SELECT 16 z, CAST((f >> 1) * 2 + a AS INT) f, CAST((x >> 1) * 2 + b AS INT) x, CAST((y >> 1) * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c) WHERE value = 50 AND NOT ((f >> 1) * 2 + a = f AND (x >> 1) * 2 + b = x AND (y >> 1) * 2 + c = y)")
+_register("parents", lambda s, d: _cells(s, d).select(F.col("value"), F.explode(ids.parents(*_cell())).alias("c")).select("value", "c.*"), "SELECT value, CAST(k AS INT) z, CAST(f >> CAST(16 - k AS INT) AS INT) f, CAST(x >> CAST(16 - k AS INT) AS INT) x, CAST(y >> CAST(16 - k AS INT) AS INT) y FROM cells_li , range(0, 16) r(k)")
+_register("children", lambda s, d: _cells(s, d).where("value = 50").select(F.explode(ids.children(*_cell(), 17)).alias("c")).select("c.*"), "SELECT 17 z, CAST(f * 2 + a AS INT) f, CAST(x * 2 + b AS INT) x, CAST(y * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c) WHERE value = 50")
+_register("siblings", lambda s, d: _cells(s, d).where("value = 50").select(F.explode(ids.siblings(*_cell())).alias("c")).select("c.*"), "SELECT 16 z, CAST((f >> 1) * 2 + a AS INT) f, CAST((x >> 1) * 2 + b AS INT) x, CAST((y >> 1) * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c) WHERE value = 50 AND NOT ((f >> 1) * 2 + a = f AND (x >> 1) * 2 + b = x AND (y >> 1) * 2 + c = y)")
 
 
 def _neighbours_sql(kinds: str) -> str:
@@ -221,15 +224,15 @@ def _neighbours_sql(kinds: str) -> str:
 for _kind, _sums in (("face", "1"), ("edge", "2"), ("vertex", "3"), ("all", "1, 2, 3")):
     _register(
         f"neighbors_{_kind}" if _kind != "face" else "neighbors_of_cells",
-        lambda s, d, k=_kind: _cells(s, d).where("value = 50").select(F.explode(ids.neighbours(*_CELL, k)).alias("c")).select("c.*"),
+        lambda s, d, k=_kind: _cells(s, d).where("value = 50").select(F.explode(ids.neighbours(*_cell(), k)).alias("c")).select("c.*"),
         _neighbours_sql(_sums),
     )
 _register("move_cells", lambda s, d: _cells(s, d).select("z", ids.moved("f", F.col("z"), F.col("f"), 3).alias("f"), ids.moved("x", F.col("z"), F.col("x"), -20).alias("x"), ids.moved("y", F.col("z"), F.col("y"), 9).alias("y"), "value"), "SELECT 16 z, CAST(f + 3 AS INT) f, CAST(((x - 20) % 65536 + 65536) % 65536 AS INT) x, CAST(y + 9 AS INT) y, value FROM cells_li")
-_register("single_id_text", lambda s, d: cells_ev(s, d).cells().select(ids.single_text(*_CELL, F.lit(3600), (F.col("t0") / 3600).cast("long")).alias("id")), "SELECT '12/' || f || '/' || x || '/' || y || '_3600/' || (t0 // 3600) AS id FROM cells_ev")
-_register("parse_id", lambda s, d: cells_ev(s, d).cells().select(ids.parse_single(ids.single_text(*_CELL, F.lit(3600), (F.col("t0") / 3600).cast("long"))).alias("p")).select("p.*"), "SELECT 12 z, f, x, y, CAST(3600 AS BIGINT) i, t0 // 3600 AS t FROM cells_ev")
+_register("single_id_text", lambda s, d: cells_ev(s, d).cells().select(ids.single_text(*_cell(), F.lit(3600), (F.col("t0") / 3600).cast("long")).alias("id")), "SELECT '12/' || f || '/' || x || '/' || y || '_3600/' || (t0 // 3600) AS id FROM cells_ev")
+_register("parse_id", lambda s, d: cells_ev(s, d).cells().select(ids.parse_single(ids.single_text(*_cell(), F.lit(3600), (F.col("t0") / 3600).cast("long"))).alias("p")).select("p.*"), "SELECT 12 z, f, x, y, CAST(3600 AS BIGINT) i, t0 // 3600 AS t FROM cells_ev")
 _register("parse_range_id", lambda s, d: _cells(s, d).select(ids.parse_range(ids.range_text(F.col("z"), F.col("f"), F.col("f") + 1, F.col("x"), F.col("x"), F.col("y"), F.col("y") + 2)).alias("p")).select("p.*"), "SELECT 16 z, f AS f0, f + 1 AS f1, x AS x0, x AS x1, y AS y0, y + 2 AS y1, CAST(34359738368 AS BIGINT) i, CAST(0 AS BIGINT) t0, CAST(0 AS BIGINT) t1 FROM cells_li")
 _register("flex_id_text", lambda s, d: to_blocks(cells_li(s, d)).select(ids.flex_text(*[F.col(c) for c in ("fz", "fi", "xz", "xi", "yz", "yi", "tz", "ti")]).alias("id")), "SELECT '16/' || f || '|16/' || x || '|16/' || y AS id FROM cells_li")
-_register("encode_round_trip", lambda s, d: _cells(s, d).select(codecs.cell_of_key(codecs.cell_key(*_CELL)).alias("c"), "value").select("c.*", "value"), "SELECT 16 z, f, x, y, value FROM cells_li")
+_register("encode_round_trip", lambda s, d: _cells(s, d).select(codecs.cell_of_key(codecs.cell_key(*_cell())).alias("c"), "value").select("c.*", "value"), "SELECT 16 z, f, x, y, value FROM cells_li")
 _register("flex_encode_round_trip", lambda s, d: to_blocks(cells_ev(s, d)).select(codecs.flex_of_key(codecs.flex_key(*[F.col(c) for c in ("fz", "fi", "xz", "xi", "yz", "yi", "tz", "ti")])).alias("c")).groupBy("c.fi", "c.xi", "c.yi").agg(F.sum(ids.shift_left(F.lit(1).cast("long"), 35 - F.col("c.tz"))).alias("seconds")), "SELECT f AS fi, x AS xi, y AS yi, CAST(sum(t1 - t0) AS BIGINT) AS seconds FROM cells_ev GROUP BY ALL")
 _register("dyadic_segments", lambda s, d: to_blocks(cells_ev(s, d)).groupBy("xi", "yi", "value").agg(F.sum(ids.shift_left(F.lit(1).cast("long"), 35 - F.col("tz"))).alias("seconds"), F.min(F.col("ti") * ids.shift_left(F.lit(1).cast("long"), 35 - F.col("tz"))).alias("start")), "SELECT x AS xi, y AS yi, value, CAST(sum(t1 - t0) AS BIGINT) AS seconds, min(t0) AS start FROM cells_ev GROUP BY ALL")
 
@@ -302,17 +305,21 @@ _register("risk_diffusion", risk_diffusion, """
 
 # Geometry --------------------------------------------------------------------------------------------------------------------
 
-_POINT = [F.col("lat"), F.col("lon"), F.col("alt")]
+
+def _point() -> list[Column]:
+    return [F.col("lat"), F.col("lon"), F.col("alt")]
+
+
 _RAD = "lat * pi() / 180"
 _register("point_to_cell", lambda s, d: C.cover_points(points_cust(s, d), 18).select("c_custkey", "z", "f", "x", "y"), f"SELECT c_custkey, 18 z, CAST(floor(alt / 128.0) AS INT) f, CAST(least(floor((lon + 180) / 360 * 262144), 262143) AS INT) x, CAST(floor((1 - ln(tan({_RAD}) + 1 / cos({_RAD})) / pi()) / 2 * 262144) AS INT) y FROM points_cust")
 _DEG = "180 / pi()"
-_register("cell_center", lambda s, d: _cells(s, d).select("f", "x", "y", P.center(*_CELL).alias("c")).select("f", "x", "y", F.round("c.lat", 9).alias("lat"), F.round("c.lon", 9).alias("lon"), F.round("c.alt", 6).alias("alt")), f"SELECT f, x, y, round(atan(sinh(pi() * (1 - 2 * (y + 0.5) / 65536))) * {_DEG}, 9) AS lat, round(360.0 * (x + 0.5) / 65536 - 180, 9) AS lon, round((f + 0.5) * 512, 6) AS alt FROM cells_li")
+_register("cell_center", lambda s, d: _cells(s, d).select("f", "x", "y", P.center(*_cell()).alias("c")).select("f", "x", "y", F.round("c.lat", 9).alias("lat"), F.round("c.lon", 9).alias("lon"), F.round("c.alt", 6).alias("alt")), f"SELECT f, x, y, round(atan(sinh(pi() * (1 - 2 * (y + 0.5) / 65536))) * {_DEG}, 9) AS lat, round(360.0 * (x + 0.5) / 65536 - 180, 9) AS lon, round((f + 0.5) * 512, 6) AS alt FROM cells_li")
 _PHI = "atan(sinh(pi() * (1 - 2 * (y + 0.5) / 65536)))"
-_register("cell_size", lambda s, d: _cells(s, d).select("f", "x", "y", P.length_f(F.col("z")).alias("length_f"), F.round(P.length_xy(*_CELL), 5).alias("length_xy")), f"SELECT f, x, y, 512.0::DOUBLE AS length_f, round((6378137.0 / sqrt(1 - 0.0066943799901413165 * sin({_PHI}) ** 2) + (f + 0.5) * 512) * cos({_PHI}) * 2 * pi() / 65536, 5) AS length_xy FROM cells_li")
+_register("cell_size", lambda s, d: _cells(s, d).select("f", "x", "y", P.length_f(F.col("z")).alias("length_f"), F.round(P.length_xy(*_cell()), 5).alias("length_xy")), f"SELECT f, x, y, 512.0::DOUBLE AS length_f, round((6378137.0 / sqrt(1 - 0.0066943799901413165 * sin({_PHI}) ** 2) + (f + 0.5) * 512) * cos({_PHI}) * 2 * pi() / 65536, 5) AS length_xy FROM cells_li")
 
 
 def _ecef(s, d) -> DataFrame:
-    p = points_cust(s, d).select("c_custkey", P.ecef(*_POINT).alias("e"))
+    p = points_cust(s, d).select("c_custkey", P.ecef(*_point()).alias("e"))
     origin = F.struct(F.lit(6378137.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return p.select("c_custkey", *[F.round(f"e.{k}", 4).alias(f"e{k}") for k in "xyz"], F.round(P.distance(F.col("e"), origin), 4).alias("distance"))
 
@@ -322,8 +329,8 @@ _register("ecef_distance", _ecef, f"""
     WITH e AS (SELECT c_custkey, lat * pi() / 180 AS p, lon * pi() / 180 AS q, alt, 6378137.0 / sqrt(1 - {_E2} * sin(lat * pi() / 180) ** 2) AS n FROM points_cust),
     g AS (SELECT c_custkey, (n + alt) * cos(p) * cos(q) AS ex, (n + alt) * cos(p) * sin(q) AS ey, (n * (1 - {_E2}) + alt) * sin(p) AS ez FROM e)
     SELECT c_custkey, round(ex, 4) ex, round(ey, 4) ey, round(ez, 4) ez, round(sqrt((ex - 6378137.0) ** 2 + ey ** 2 + ez ** 2), 4) AS distance FROM g""")
-_register("ecef_round_trip", lambda s, d: points_cust(s, d).select("c_custkey", *_POINT, P.ecef(*_POINT).alias("e")).select("c_custkey", P.from_ecef(F.col("e.x"), F.col("e.y"), F.col("e.z")).alias("c")).select("c_custkey", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"), F.round("c.alt", 2).alias("alt")), "SELECT c_custkey, round(lat, 6) lat, round(lon, 6) lon, round(alt, 2) alt FROM points_cust")
-_register("center_of_gravity", lambda s, d: points_cust(s, d).agg(P.center_of_gravity(*_POINT).alias("c")).select(*[F.round(f"c.{k}", 6).alias(k) for k in ("lat", "lon", "alt")]), "SELECT round(avg(lat), 6) lat, round(avg(lon), 6) lon, round(avg(alt), 6) alt FROM points_cust")
+_register("ecef_round_trip", lambda s, d: points_cust(s, d).select("c_custkey", *_point(), P.ecef(*_point()).alias("e")).select("c_custkey", P.from_ecef(F.col("e.x"), F.col("e.y"), F.col("e.z")).alias("c")).select("c_custkey", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"), F.round("c.alt", 2).alias("alt")), "SELECT c_custkey, round(lat, 6) lat, round(lon, 6) lon, round(alt, 2) alt FROM points_cust")
+_register("center_of_gravity", lambda s, d: points_cust(s, d).agg(P.center_of_gravity(*_point()).alias("c")).select(*[F.round(f"c.{k}", 6).alias(k) for k in ("lat", "lon", "alt")]), "SELECT round(avg(lat), 6) lat, round(avg(lon), 6) lon, round(avg(alt), 6) alt FROM points_cust")
 
 
 def shape_table(spark: SparkSession, sf_dir: str, kind: str, n: int) -> DataFrame:
