@@ -24,6 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voxlattice.llm.packing import slices
+from voxlattice.llm.scratch import small_arrow_batches
 
 #: Labelled documents of each language that training reads at most, and bytes of each.
 SAMPLE_PER_LANG = 400
@@ -272,39 +276,43 @@ def sample_labelled(docs: DataFrame, text_col: str, lang_col: str, per_lang: int
     return texts, labels
 
 
-def predict(docs: DataFrame, model: BiGru, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` for every row, from its whole text."""
+def predict(docs: DataFrame, model: BiGru, text_col: str = "text", keep: list[Column] | None = None, least: float | None = None, keep_text: bool = False) -> DataFrame:
+    """``keep`` columns, ``lang_pred`` and ``score`` for every row, from its whole text.
+
+    With ``least`` only the rows whose language is determined with at least that score.
+    """
+    small_arrow_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     # Texts without a letter need no network; the others go to it whole.
-    text = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
-    rows = docs.select(*(keep or []), text.alias("__text"))
-    kept = rows.schema.fields[:-1]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = docs.select(*(keep or []), F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__read"))
+    kept = len(rows.columns) - (1 if keep_text else 2)
+    schema = T.StructType([*rows.schema.fields[:kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        from voxlattice.llm.packing import slices
-
         model = held.value
         for whole in batches:
             for batch in slices(whole, "__text", 2_000_000):
-                texts = batch.column("__text")
-                n = batch.num_rows
-                lang, score = [UNDETERMINED] * n, np.zeros(n)
-                if model.langs:
-                    filled = pc.fill_null(texts, "")
-                    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(filled).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                    raw = np.frombuffer(b"".join(x.as_buffer() for x in filled), np.uint8)
-                    p = document_probabilities(model, raw, bounds)
-                    best = p.argmax(1)
-                    for i in np.flatnonzero(pc.is_valid(texts).to_numpy(zero_copy_only=False)).tolist():
-                        lang[i], score[i] = model.langs[best[i]], min(1.0, float(p[i, best[i]]))
-                yield pa.record_batch([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
+                lang, score = _batch_languages(model, batch.column("__text"), batch.column("__read").to_numpy(zero_copy_only=False))
+                out = pa.record_batch([*batch.columns[:kept], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
+                if least is not None:
+                    out = out.filter(pa.array([k != UNDETERMINED and s >= least for k, s in zip(lang, score, strict=True)], pa.bool_()))
+                yield out
 
     return rows.mapInArrow(run, schema)
 
 
+def _batch_languages(model: BiGru, texts: pa.Array, read: np.ndarray) -> tuple[list[str], np.ndarray]:
+    lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    due = np.flatnonzero(read)
+    if model.langs and len(due):
+        read_texts = texts.take(pa.array(due))
+        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(read_texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        p = document_probabilities(model, np.frombuffer(b"".join(x.as_buffer() for x in read_texts), np.uint8), bounds)
+        for k, i in enumerate(due.tolist()):
+            lang[i], score[i] = model.langs[int(p[k].argmax())], min(1.0, float(p[k].max()))
+    return lang, score
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that training never sees: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -323,8 +331,10 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id
 
 def drop_unidentified(docs: DataFrame, least: float = 0.3, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of ``least`` or more, with all columns."""
-    model = fit(docs, text_col, lang_col, id_col)
-    names = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), docs[text_col].alias("__body"))
-    found = predict(packed, model, "__body", [F.col("__row")])
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
+    model, names = fit(docs, text_col, lang_col, id_col), docs.columns
+    # Columns travel under names of their own, so that none can clash; the text travels once.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    text = f"c{names.index(text_col)}"
+    others = [F.col(c) for c in plain.columns if c != text]
+    found = predict(plain, model, text, others, least, keep_text=True)
+    return found.select(*[F.col("__text" if f"c{k}" == text else f"c{k}").alias(n) for k, n in enumerate(names)])
