@@ -142,13 +142,15 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
     tag_prior: float = -0.3
+    #: What is inside chrome is left out of the text anyway; crossing it costs little.
+    chrome_prior: float = -0.2
     word_prior: float = 1.0
 
     def word(self, item: Item) -> float:
         return 0.0 if item.chrome else self.words.get(item.place, self.word_prior)
 
     def tag(self, item: Item) -> float:
-        return self.tags.get(item.tag, self.tag_prior * (10 if item.chrome else 1))
+        return self.tags.get(item.tag, self.chrome_prior if item.chrome else self.tag_prior)
 
 
 def own_region(page: str) -> tuple[int, int] | None:
