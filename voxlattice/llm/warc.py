@@ -10,8 +10,8 @@ revisit that refers to it) and the metadata record. Request and metadata name th
 WARC-Concurrent-To; ``assemble`` joins them through it into one nested row per capture.
 
 Defined results: null html is the empty payload; a null url is written as ``urn:unknown``; equal payloads are
-represented by the row with the largest id, repeated ids all count as that row; a null id is kept as null; an
-empty table gives an empty archive; other columns are ignored.
+represented by the row with the largest id, and rows repeated with that id are all written whole; a null id stays null
+and is smaller than all others; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,18 +79,19 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     light = rows.select("id", "sha")
     refers = (
         light.join(best.select(F.concat("sha", F.lit("")).alias("s"), "top"), F.concat("sha", F.lit("")) == F.col("s"))
-        .where("id <> top")
-        .select(F.col("id").alias("rid"), "top")
+        .where("not (id <=> top)")
+        .select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "top")
         .distinct()
     )
-    rows = rows.join(refers, F.col("id") == F.col("rid"), "left")
-    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    rows = rows.join(refers, F.expr("id <=> rid and sha = rsha"), "left")
+    page = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    key = F.concat_ws(":", page, "sha")
     main, when_ = _uuid_urn("main", key), F.lit(date)
     digest = F.concat(F.lit("sha1:"), _base32_of_hex(F.col("sha")))
     whole = F.col("top").isNull()
     block = F.when(whole, F.concat(F.lit(_HTTP_HEAD), "payload")).otherwise(F.lit(_HTTP_HEAD))
     request = F.lit("GET / HTTP/1.1\r\n\r\n")
-    meta = F.concat(F.lit("page_id: "), key, F.lit("\r\npayload-bytes: "), F.col("bytes").cast("string"), F.lit(CRLF))
+    meta = F.concat(F.lit("page_id: "), page, F.lit("\r\npayload-bytes: "), F.col("bytes").cast("string"), F.lit(CRLF))
 
     def record(kind: Column, rid: Column, extra: list[tuple[str, Column]], content_type: str, body: Column) -> Column:
         head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", when_), ("WARC-Target-URI", F.col("url")), *extra]
@@ -105,7 +106,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             [
                 ("WARC-Payload-Digest", digest),
                 ("WARC-Profile", F.when(~whole, F.lit(REVISIT_PROFILE))),
-                ("WARC-Refers-To", F.when(~whole, _uuid_urn("main", F.col("top").cast("string")))),
+                ("WARC-Refers-To", F.when(~whole, _uuid_urn("main", F.concat_ws(":", F.col("top").cast("string"), "sha")))),
             ],
             "application/http;msgtype=response",
             block,
@@ -221,12 +222,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``capture_id, uri, date, response, request, metadata``.
 
-    The response or revisit is the root; requests and metadata reach it through concurrent-to. Record ids are
-    unique, so the join keys carry no skew. A capture without request or metadata has null there.
+    The response or revisit is the root; requests and metadata reach it through concurrent-to. A record id names one
+    capture, so the join keys carry no skew; captures repeated whole share their request and metadata. A capture
+    without request or metadata has null there.
     """
     part = lambda kind, name: records.where(F.col("type") == kind).select(
         F.col("concurrent_to").alias(f"{name}_to"), F.struct("record_id", "http_head", "payload").alias(name)
-    )
+    ).dropDuplicates([f"{name}_to"])
     root = records.where(F.col("type").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"),
         "uri",
@@ -257,7 +259,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
         assemble(records).select(
             "capture_id",
             "uri",
-            F.regexp_extract(F.decode("metadata.payload", "UTF-8"), r"page_id: (-?\d+)", 1).cast("long").alias("page_id"),
+            F.regexp_extract(F.decode("metadata.payload", "UTF-8"), r"page_id: (-?\d+)", 1).try_cast("long").alias("page_id"),
             "response.*",
         ),
         "captures",
