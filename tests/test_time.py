@@ -146,3 +146,12 @@ def test_events_become_cells(spark):
     df = spark.createDataFrame([(35.681382, 139.766084, 10.0, "2024-01-01 01:30:00")], "lat double, lon double, alt double, ts string")
     r = observations.to_cells(df.withColumn("ts", F.to_timestamp("ts")), 18, HOUR).first()
     assert (r["f"], r["x"], r["y"], r["t"]) == (0, 232846, 103226, 1704072600 // HOUR)
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from voxlattice import __main__ as cli
+
+    ids = [{"z": 25, "f": [0], "x": [7], "y": [9], "ref": 0}]
+    p = _write(tmp_path / "in.json", [{"name": "n", "value": [5], "ids": ids}])
+    assert cli.main([p, str(tmp_path / "out")]) == 0 and cli.main([]) == 2
+    assert as_dict(jsonio.read_frame(spark, str(tmp_path / "out"), 25)) == {(0, 17, 9, 0, WHOLE): 5}

@@ -159,3 +159,19 @@ def test_random_queries_against_a_model(spark, seed):
 def test_falloff_shuffles_the_input_once(spark):
     plan = Query.of(frame(spark, [(0, 100, 0, 4)])).falloff_x(20, 2, "both", LINEAR, SUM).run().df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("axis", "fxy")
+def test_falloff_over_tiles_equals_falloff_without(spark, monkeypatch, axis):
+    from voxlattice.operators import transforms
+
+    rng = random.Random(5)
+    n = 64
+    cells = {(rng.randint(-n, n - 1), rng.randrange(n), rng.randrange(n)) for _ in range(300)} | {(0, 0, 0), (-n, n - 1, n - 1), (-1, 15, 16)}
+    f = frame(spark, [(*c, 1 + sum(c) % 50) for c in sorted(cells)], z=6)
+    for direction in ("both", "upper", "lower"):
+        q = getattr(Query.of(f), f"falloff_{axis}")(6, 3, direction, LINEAR, SUM)
+        whole = as_dict(q.run())
+        monkeypatch.setattr(transforms, "LANE_TILE", 16)
+        assert as_dict(q.run()) == whole
+        monkeypatch.setattr(transforms, "LANE_TILE", 1 << 16)

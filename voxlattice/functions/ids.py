@@ -174,6 +174,49 @@ def moved(axis: str, z: Column, index: Column, by: Column | int) -> Column:
     return F.when((to >= low) & (to < n), to.cast("int")).otherwise(F.raise_error(F.lit(f"{axis} leaves its range")).cast("int"))
 
 
+def morton(z: Column, f: Column, x: Column, y: Column, bits: int = 20) -> Column:
+    """A 63-bit Z-order key of the top ``bits`` bits of f, x and y: for range partitioning and clustered files."""
+    spread = [
+        (21, 0x1FFFFF), (32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249),
+    ]
+
+    def part(c: Column) -> Column:
+        v = c.bitwiseAND(F.lit(spread[0][1]))
+        for shift, mask in spread[1:]:
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    top = lambda c, extra: shift_right(shift_left(c.cast("long"), F.greatest(F.lit(bits) - z - extra, F.lit(0))), F.greatest(z + extra - bits, F.lit(0)))
+    above = f.cast("long") + side(z)  # one bit more than x and y
+    return F.shiftleft(part(top(above, 1)), 2).bitwiseOR(F.shiftleft(part(top(x, 0)), 1)).bitwiseOR(part(top(y, 0)))
+
+
+# Time of a cell ------------------------------------------------------------------------------------------------------
+
+
+def with_time(i: Column | int, t: Column) -> Column:
+    """``struct<i, t>``, or an error where the interval or the index does not exist."""
+    i = F.lit(i).cast("long") if isinstance(i, int) else i.cast("long")
+    ok = i.between(1, WHOLE) & (t >= 0) & ((t + 1) * i <= WHOLE)
+    made = F.struct(i.alias("i"), t.cast("long").alias("t"))
+    return F.when(ok, made).otherwise(F.raise_error(F.lit("time out of range")).cast("struct<i:bigint,t:bigint>"))
+
+
+def with_time_at(i: int, unix: Column) -> Column:
+    return with_time(i, F.floor(unix / i))
+
+
+def without_time() -> Column:
+    return F.struct(F.lit(WHOLE).alias("i"), F.lit(0).cast("long").alias("t"))
+
+
+def relabel_time(i: Column, t: Column, to: Column | int) -> Column:
+    """The same seconds as one index of another interval, or an error where there is none."""
+    to = F.lit(to).cast("long") if isinstance(to, int) else to
+    made = F.struct(to.alias("i"), (t * i / to).cast("long").alias("t"))
+    return F.when((i == to) & (t * i % to == 0), made).otherwise(F.raise_error(F.lit("the span is not one interval of that length")).cast("struct<i:bigint,t:bigint>"))
+
+
 # Range and block arithmetic, for bounds that the driver plans with ----------------------------------------------------
 
 

@@ -88,6 +88,8 @@ class Pattern:
         return truncated_division(above, F.lit(below)).cast(kind) if kind in _BOUNDS else above / below
 
 
+#: Cells of a lane that stay together in a falloff's exchange.
+LANE_TILE = 1 << 16
 LINEAR, QUADRATIC_IN, QUADRATIC_OUT = Pattern("Linear"), Pattern("QuadraticIn"), Pattern("QuadraticOut")
 DIRECTIONS = {"both": (-1, 1), "upper": (0, 1), "lower": (-1, 0)}
 
@@ -105,7 +107,9 @@ def falloff(frame: VoxelFrame, axis: str, z: int, r: int, direction: str, patter
 
     All contributions to a cell come from its lane (the cells that share the other coordinates). The rows are
     dealt out by lane before they are multiplied, so the shuffle carries the input and not the 2r + 1 times as
-    many contributions, and the aggregation that follows needs no further exchange.
+    many contributions, and the aggregation that follows needs no further exchange. Long lanes are cut into tiles;
+    a row near a tile's edge goes to both sides. A tile has at most ``LANE_TILE`` cells (per time span), so no key
+    of the exchange is hot, however the cells lie.
     """
     if r == 0:
         return frame
@@ -117,11 +121,23 @@ def falloff(frame: VoxelFrame, axis: str, z: int, r: int, direction: str, patter
     d = F.abs(F.col("d")).cast("long")
     at = F.col(axis).cast("long") + F.col("d") * stride
     to = F.pmod(at, F.lit(n)) if axis == "x" else at
-    rows = frame.df.repartition(*lane).withColumn("d", F.explode(F.array(*[F.lit(k) for k in range(low * r, high * r + 1)])))
-    rows = rows.select(*lane, to.cast("int").alias(axis), pattern.attenuate(F.col("value"), d, r, kind).alias("value"), F.struct(F.col(axis), F.col("d")).alias("seq"))
+    rows, tile = frame.df, None
+    width = max(LANE_TILE, 1 << (2 * r * stride).bit_length())
+    if n > width:
+        tile, tiles = F.col("tile"), (2 * n if axis == "f" else n) // width
+        first, last = (F.floor((F.col(axis).cast("long") + k * r * stride) / width) for k in (low, high))
+        reached = F.when(first == last, F.array(first)).otherwise(F.array(first, last))
+        rows = rows.withColumn("tile", F.explode(reached))
+        if axis == "x":
+            rows = rows.withColumn("tile", F.pmod(tile, F.lit(tiles)))
+    dealt = [*lane, *(("tile",) if tile is not None else ())]
+    rows = rows.repartition(*dealt).withColumn("d", F.explode(F.array(*[F.lit(k) for k in range(low * r, high * r + 1)])))
+    if tile is not None:
+        rows = rows.where(F.floor(to / width) == tile)
+    rows = rows.select(*dealt, to.cast("int").alias(axis), pattern.attenuate(F.col("value"), d, r, kind).alias("value"), F.struct(F.col(axis), F.col("d")).alias("seq"))
     if axis != "x":
         rows = rows.where(F.col(axis).between(*limits(axis, frame.z)))
-    return frame.over(rows.groupBy(*frame.keys).agg(policy.aggregate(F.col("value"), F.col("seq"), kind).alias("value")))
+    return frame.over(rows.groupBy(*dealt, axis).agg(policy.aggregate(F.col("value"), F.col("seq"), kind).alias("value")))
 
 
 def zoom_out(frame: VoxelFrame, z: int, policy: MergePolicy, weight: str = "cell") -> VoxelFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxlattice.domain import CALENDAR
 from voxlattice.frame import VoxelFrame, to_blocks
-from voxlattice.functions import codecs, ids, timeaxis
+from voxlattice.functions import codecs, flex, ids, timeaxis
 from voxlattice.functions import projection as P
 from voxlattice.operators import coalesce, lookups, sets, transforms, writes
 from voxlattice.operators import covers as C
@@ -236,6 +236,16 @@ _register("encode_round_trip", lambda s, d: _cells(s, d).select(codecs.cell_of_k
 _register("flex_encode_round_trip", lambda s, d: to_blocks(cells_ev(s, d)).select(codecs.flex_of_key(codecs.flex_key(*[F.col(c) for c in ("fz", "fi", "xz", "xi", "yz", "yi", "tz", "ti")])).alias("c")).groupBy("c.fi", "c.xi", "c.yi").agg(F.sum(ids.shift_left(F.lit(1).cast("long"), 35 - F.col("c.tz"))).alias("seconds")), "SELECT f AS fi, x AS xi, y AS yi, CAST(sum(t1 - t0) AS BIGINT) AS seconds FROM cells_ev GROUP BY ALL")
 _register("dyadic_segments", lambda s, d: to_blocks(cells_ev(s, d)).groupBy("xi", "yi", "value").agg(F.sum(ids.shift_left(F.lit(1).cast("long"), 35 - F.col("tz"))).alias("seconds"), F.min(F.col("ti") * ids.shift_left(F.lit(1).cast("long"), 35 - F.col("tz"))).alias("start")), "SELECT x AS xi, y AS yi, value, CAST(sum(t1 - t0) AS BIGINT) AS seconds, min(t0) AS start FROM cells_ev GROUP BY ALL")
 
+_register(
+    "morton_order",
+    lambda s, d: _cells(s, d).select(ids.morton(*_cell()).alias("k")).groupBy(F.expr("shiftright(k, 54)").alias("top")).agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CAST(((f + 65536) >> 16 & 1) * 32 + (x >> 15 & 1) * 16 + (y >> 15 & 1) * 8 + ((f + 65536) >> 15 & 1) * 4 + (x >> 14 & 1) * 2 + (y >> 14 & 1) AS BIGINT) AS top, count(*) n FROM cells_li GROUP BY 1",
+)
+_register("range_blocks", lambda s, d: flex.from_ranges(_cells(s, d).where("value = 50").select("z", F.col("f").alias("f0"), F.col("f").alias("f1"), F.col("x").alias("x0"), (F.col("x") + 4).alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))).groupBy(F.col("fi").alias("f"), F.col("yi").alias("y")).agg(F.sum(F.pow(F.lit(2.0), 16 - F.col("xz"))).cast("bigint").alias("cells")), "SELECT f, y, CAST(5 * count(*) AS BIGINT) AS cells FROM cells_li WHERE value = 50 GROUP BY f, y")
+_register("block_shards", lambda s, d: flex.to_shards(to_blocks(cells_li(s, d)), (10, 10, 10)).groupBy("sf", "sx", "sy").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(f >> 6 AS INT) sf, CAST(x >> 6 AS INT) sx, CAST(y >> 6 AS INT) sy, count(*) n FROM cells_li GROUP BY ALL")
+_register("block_ancestors", lambda s, d: flex.clamp_zoom(to_blocks(cells_li(s, d)), 12).groupBy("fz", "fi", "xz", "xi", "yz", "yi").agg(F.max("value").alias("value")), "SELECT 12 fz, CAST(f >> 4 AS INT) fi, 12 xz, CAST(x >> 4 AS INT) xi, 12 yz, CAST(y >> 4 AS INT) yi, max(value) AS value FROM cells_li GROUP BY ALL")
+_register("with_time_at", lambda s, d: views._table(s, d, "events").select("event_id", ids.with_time_at(3600, F.unix_timestamp("ts")).alias("c")).select("event_id", "c.*"), "SELECT event_id, CAST(3600 AS BIGINT) i, CAST(floor(epoch(ts) / 3600) AS BIGINT) t FROM events")
+
 # Time ------------------------------------------------------------------------------------------------------------------------
 
 _register("time_bucket", lambda s, d: views._table(s, d, "events").select("event_id", timeaxis.bucket(F.unix_timestamp("ts"), 86400).alias("day"), timeaxis.bucket(F.unix_timestamp("ts"), 1800).alias("half_hour")), "SELECT event_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(floor(epoch(ts) / 1800) AS BIGINT) AS half_hour FROM events")
