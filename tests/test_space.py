@@ -125,12 +125,12 @@ def test_block_joins_against_boxes(spark, seed):
 
 def test_canonical_form(spark):
     cube = [(a, b, c, 5) for a in (0, 1) for b in (2, 3) for c in (6, 7)]
-    got = [tuple(r) for r in canonicalize(frame(spark, cube, z=4), 2).collect()]
+    got = [tuple(r) for r in canonicalize(frame(spark, cube, z=4), 2, 0).collect()]
     assert got == [(3, 0, 3, 1, 3, 3, 0, 0, 5)]
     row = [(0, x, 0, 1) for x in range(4)]
-    assert [tuple(r)[:6] for r in canonicalize(frame(spark, row, z=4), 2).collect()] == [(4, 0, 2, 0, 4, 0)]
+    assert [tuple(r)[:6] for r in canonicalize(frame(spark, row, z=4), 1, 1).collect()] == [(4, 0, 2, 0, 4, 0)]
     ground = [(f, x, y, 1) for f in range(-2, 2) for x in (0, 1) for y in (0, 1)]
-    assert sorted(tuple(r)[:6] for r in canonicalize(frame(spark, ground, z=1), 1).collect()) == [(0, -1, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0)]
+    assert sorted(tuple(r)[:6] for r in canonicalize(frame(spark, ground, z=1), 1, 0).collect()) == [(0, -1, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0)]
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -144,10 +144,10 @@ def test_canonical_form_covers_the_same_space(spark, seed):
         v = rng.randint(1, 2)
         cells |= {(f + a, x + b, y + c): v for a in range(w) for b in range(w) for c in range(w)}
     f = frame(spark, [(*k, v) for k, v in cells.items()], z=z)
-    coarse = canonicalize(f, 2)
+    coarse = canonicalize(f, 2, 1)
     assert as_dict(from_blocks(coarse, z)) == cells
-    # The prefix is an implementation detail: every choice of it gives the same blocks.
-    sets_of = [sorted(map(tuple, canonicalize(f, p).collect())) for p in (0, 1, 3, 4)]
+    # The levels are an implementation detail: every choice of them gives the same blocks.
+    sets_of = [sorted(map(tuple, canonicalize(f, *p).collect())) for p in ((1, 0), (2, 0), (6, 4), (3, 2), (6, 0))]
     assert all(s == sorted(map(tuple, coarse.collect())) for s in sets_of)
     assert coarse.count() <= len(cells)
 
