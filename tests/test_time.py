@@ -118,6 +118,21 @@ def test_malformed_ids(spark, tmp_path, ids):
         jsonio.read_ranges(spark, p).collect()
 
 
+@pytest.mark.parametrize("ids", [[{"z": 31, "ref": 0}], [{"z": 1, "f": [2], "ref": 0}], [{"z": 1, "x": [0, 2], "ref": 0}], [{"z": 1, "y": [-1], "ref": 0}], [{"z": 1, "y": [], "ref": 0}]])
+def test_indices_out_of_range(spark, tmp_path, ids):
+    p = _write(tmp_path / "a.json", [{"name": "n", "value": [5], "ids": ids}])
+    with pytest.raises(Exception, match="out of range"):
+        jsonio.read_ranges(spark, p).collect()
+
+
+def test_blocks_are_written_as_ranges(spark, tmp_path):
+    f = frame(spark, [(a, b, c, 5) for a in (0, 1) for b in (2, 3) for c in (6, 7)] + [(0, 4, 6, 5)], z=4)
+    doc = jsonio.parse_document(jsonio.document(f).first()["document"])
+    assert [(i["z"], i["f"], i["x"], i["y"]) for i in doc["data"][0]["ids"]] == [(3, [0], [1], [3]), (4, [0], [4], [6])]
+    jsonio.write_document(f, str(tmp_path / "d"))
+    assert {k[:3]: v for k, v in as_dict(jsonio.read_frame(spark, str(tmp_path / "d"), 4)).items()} == as_dict(f)
+
+
 def test_malformed_documents(spark, tmp_path):
     for data in ([], [{"name": "a", "value": [], "ids": []}] * 2):
         with pytest.raises(UnsupportedFormat):
