@@ -123,3 +123,12 @@ def test_measures(spark):
     assert tuple(r["c"]) == (4, 15, 15, 0)
     assert np.allclose(tuple(r["m"]), (-81.09321385260839, 33.75, 13631488.0))
     assert np.allclose(tuple(r["v"][0]), (-79.17133464081945, 22.5, 12582912.0)) and np.allclose(tuple(r["v"][7]), (-82.67628497834903, 45.0, 14680064.0))
+
+
+def test_native_vectors(spark):
+    pts = at((35.681, 139.766, 0), (35.682, 139.766, 0), (35.681, 139.767, 0))
+    e = [P.ecef(*map(F.lit, p)) for p in pts.tolist()]
+    r = spark.range(1).select(P.triangle_area(*e).alias("a"), P.near(e[0], e[1], 200).alias("n"), P.near(e[0], e[1], 50).alias("m"), P.project_2d(e[0], "x", "z").alias("p"), P.dot(P.cross(e[0], e[1]), e[0]).alias("o")).first()
+    assert np.isclose(r["a"], shapes.triangle_area(pts)) and r["n"] and not r["m"] and abs(r["o"]) < 1e7
+    assert np.allclose(tuple(r["p"]), shapes.to_ecef(pts)[0][[0, 2]])
+    assert shapes.prism_sides(5, 18) == 57 and shapes.prism_sides(1000, 25) == 1047

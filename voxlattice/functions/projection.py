@@ -79,6 +79,38 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0]))
 
 
+def near(a: Column, b: Column, epsilon: float) -> Column:
+    """Whether two earth-centred positions are less than ``epsilon`` metres apart."""
+    return distance(a, b) < epsilon
+
+
+def minus(a: Column, b: Column) -> Column:
+    return F.struct(*[(a[k] - b[k]).alias(k) for k in "xyz"])
+
+
+def dot(a: Column, b: Column) -> Column:
+    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+
+
+def norm_squared(a: Column) -> Column:
+    return dot(a, a)
+
+
+def cross(a: Column, b: Column) -> Column:
+    turn = (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))
+    return F.struct(*[(a[p] * b[q] - a[q] * b[p]).alias(k) for k, p, q in turn])
+
+
+def project_2d(a: Column, u: str, v: str) -> Column:
+    """Two of the three components."""
+    return F.struct(a[u].alias("u"), a[v].alias("v"))
+
+
+def triangle_area(a: Column, b: Column, c: Column) -> Column:
+    """Square metres of the triangle of three earth-centred positions."""
+    return F.sqrt(norm_squared(cross(minus(b, a), minus(c, a)))) / 2
+
+
 def length_f(z: Column) -> Column:
     return F.pow(F.lit(2.0), F.lit(25) - z)
 

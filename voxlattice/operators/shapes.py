@@ -305,6 +305,11 @@ def cylinder_faces(ends: np.ndarray, radius: float, sides: int = PRISM_SIDES) ->
     return [*walls, low[::-1], high]
 
 
+def prism_sides(radius: float, z: int) -> int:
+    """Sides that keep the prism's faces near three voxel heights wide at zoom z, never fewer than the fixed number."""
+    return max(PRISM_SIDES, int(radius * math.pi / (3 * 2.0 ** (25 - z))))
+
+
 def cylinder(ends: np.ndarray, radius: float, z: int) -> np.ndarray:
     return solid(cylinder_faces(ends, radius), z, check=False)
 

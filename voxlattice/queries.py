@@ -340,6 +340,10 @@ _register("ecef_distance", _ecef, f"""
     g AS (SELECT c_custkey, (n + alt) * cos(p) * cos(q) AS ex, (n + alt) * cos(p) * sin(q) AS ey, (n * (1 - {_E2}) + alt) * sin(p) AS ez FROM e)
     SELECT c_custkey, round(ex, 4) ex, round(ey, 4) ey, round(ez, 4) ez, round(sqrt((ex - 6378137.0) ** 2 + ey ** 2 + ez ** 2), 4) AS distance FROM g""")
 _register("ecef_round_trip", lambda s, d: points_cust(s, d).select("c_custkey", *_point(), P.ecef(*_point()).alias("e")).select("c_custkey", P.from_ecef(F.col("e.x"), F.col("e.y"), F.col("e.z")).alias("c")).select("c_custkey", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"), F.round("c.alt", 2).alias("alt")), "SELECT c_custkey, round(lat, 6) lat, round(lon, 6) lon, round(alt, 2) alt FROM points_cust")
+_register(
+    "triangle_area",
+    lambda s, d: shape_table(s, d, "triangle", 3).select("shape_id", F.transform("points", lambda p: P.ecef(p["lat"], p["lon"], p["alt"])).alias("p")).select("shape_id", F.round(P.triangle_area(F.col("p")[0], F.col("p")[1], F.col("p")[2]), 2).alias("area")),
+)
 _register("center_of_gravity", lambda s, d: points_cust(s, d).agg(P.center_of_gravity(*_point()).alias("c")).select(*[F.round(f"c.{k}", 6).alias(k) for k in ("lat", "lon", "alt")]), "SELECT round(avg(lat), 6) lat, round(avg(lon), 6) lon, round(avg(alt), 6) alt FROM points_cust")
 
 
