@@ -178,3 +178,21 @@ def test_embeddings(spark, seed, cells, block):
         else:
             assert (r["n_links"], r["component_id"], r["kept"]) == (degree[k], comp[k], comp[k] == k), k
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_scratch_folder(spark):
+    """The cluster's setting counts; without it, one temporary folder per application."""
+    from types import SimpleNamespace
+
+    from voxlattice.llm import scratch
+
+    conf = lambda v: SimpleNamespace(get=lambda key, default=None: v)
+    session = lambda v: SimpleNamespace(conf=conf(None), sparkContext=SimpleNamespace(getConf=lambda: conf(v), applicationId="app-x"))
+    assert scratch.shared_root(session("hdfs:///shared/")) == "hdfs:///shared"
+    own = scratch.shared_root(session(None))
+    assert own.startswith("file:///") and own == scratch.shared_root(session(None))
+    path = scratch.scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    scratch.discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -12,12 +12,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for sessions whose setting is unset, by application.
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one that is then set."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one per application."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="voxlattice-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="voxlattice-")
+        root = _own[app]
     return root.rstrip("/")
 
 
