@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def truncated_division(a: Column, b: Column) -> Column:
     """Integer division that truncates toward zero, exact at 64 bits."""
     return F.call_function("div", a, b)

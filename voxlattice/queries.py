@@ -313,6 +313,16 @@ _register("risk_diffusion", risk_diffusion, """
     c AS (SELECT f, x, y + d AS y, max((value * (2 - abs(d))) // 2) AS value FROM b, range(-2, 3) r(d) GROUP BY 1, 2, 3)
     SELECT 14 z, CAST(f AS INT) f, CAST(x AS INT) x, CAST(y AS INT) y, CAST(value AS BIGINT) AS value FROM c WHERE y BETWEEN 0 AND 16383""")
 
+_register(
+    "falloff_chain",
+    lambda s, d: Query.of(cells_li(s, d)).falloff_f(16, 2, "upper", LINEAR, MAX).falloff_x(16, 2, "both", LINEAR, MAX).falloff_y(16, 2, "both", LINEAR, MAX).run(),
+    """
+    WITH a AS (SELECT f + d AS f, x, y, max((value * (2 - d)) // 2) AS value FROM cells_li, range(0, 3) r(d) GROUP BY 1, 2, 3),
+    b AS (SELECT f, ((x + d) % 65536 + 65536) % 65536 AS x, y, max((value * (2 - abs(d))) // 2) AS value FROM a, range(-2, 3) r(d) GROUP BY 1, 2, 3),
+    c AS (SELECT f, x, y + d AS y, max((value * (2 - abs(d))) // 2) AS value FROM b, range(-2, 3) r(d) GROUP BY 1, 2, 3)
+    SELECT 16 z, CAST(f AS INT) f, CAST(x AS INT) x, CAST(y AS INT) y, CAST(value AS BIGINT) AS value FROM c WHERE y BETWEEN 0 AND 65535""",
+)
+
 # Geometry --------------------------------------------------------------------------------------------------------------------
 
 

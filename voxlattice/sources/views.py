@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ SQL = {
 
 def with_views(sql: str) -> str:
     """``sql`` preceded by the views that it names."""
-    used = [f"{k} AS ({v})" for k, v in SQL.items() if f"{k} " in sql + " " or f"{k})" in sql or f"{k}\n" in sql]
+    used = [f"{k} AS ({v})" for k, v in SQL.items() if re.search(rf"\b{k}\b", sql)]
     body = sql.strip()
     if not used:
         return body
