@@ -167,7 +167,7 @@ def _products(rows: list[np.ndarray], columns: list[np.ndarray], most: int = 409
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", trees: int = 24, longest_prefix: int = 8,
-                 target_recall: float = 0.9999, block_rows: int = 1024, block_words: int = 2_000_000) -> DataFrame:
+                 target_recall: float = 0.9999, block_rows: int = 1024, block_words: int = 2_000_000, spread: int = 8) -> DataFrame:
     """``doc_id, class_id, n_links, n_copies, kept`` for every row.
 
     ``class_id`` is the smallest id that links reach, ``n_links`` the number of different texts with similarity
@@ -210,7 +210,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     weights = distinct.select("rep", "same", "size", "nodes").join(near, F.col("rep") == F.col("node"))
     weights = staged(weights.select("rep", "same", "size", "nodes", F.col("component").alias("hood")), "neighbours")
     extent = weights.groupBy("hood").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("words"))
-    extent = extent.select(F.col("hood").alias("h"), F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("words") / block_words)).alias("blocks"))
+    # Blocks hold at most ``block_rows`` texts; hoods of some hundred texts are cut into up to ``spread`` smaller ones, so
+    # that their block pairs go to many tasks.
+    apart = F.least(F.lit(spread), F.ceil(F.col("m") / max(1, block_rows // 4)))
+    extent = extent.select(F.col("hood").alias("h"), F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("words") / block_words), apart).alias("blocks"))
     placed = weights.join(extent, F.col("hood") + 0 == F.col("h"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     # Texts come back for the members only; the smaller side is the members'.
