@@ -17,12 +17,10 @@ id and text) exactly one stays; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlattice.llm.scratch import scratch_path, staged
+from voxlattice.llm.scratch import BLOOM_JOIN, scratch_path, settings, staged
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,24 +31,6 @@ _STORE = {
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Texts whose digest occurs once are kept out of the shuffle by a Bloom filter on the digests that occur more often.
-_FILTER = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(8 << 30),
-}
-
-
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def sha256_hex(text: Column) -> Column:
@@ -74,7 +54,7 @@ class KeyedState:
     def add(self, keys: DataFrame) -> DataFrame:
         """``keys(uid, id, digest, locator)``; returns the log as a table."""
         keys.write.mode("append").option("compression", "zstd").parquet(self.log)
-        with _settings(self.spark, _STORE):
+        with settings(self.spark, _STORE):
             stream = (
                 self.spark.readStream.schema(keys.schema)
                 .option("maxFilesPerTrigger", self.files_per_batch)
@@ -93,7 +73,7 @@ class KeyedState:
 
     def table(self) -> DataFrame:
         """``(digest, n, keeper_id, keeper_uid, locator)`` of every key that has been seen."""
-        with _settings(self.spark, _STORE):
+        with settings(self.spark, _STORE):
             held = self.spark.read.format("statestore").load(self.state)
         count, keeper = (f.name for f in held.schema["value"].dataType.fields)
         best = F.col("value")[keeper]
@@ -129,7 +109,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Full bytes on hits: the members of groups of two or more, each against the keeper's bytes.
     bodies = rows.select("id", "body", digest(F.col("body")).alias("digest"), F.input_file_name().alias("file"))
-    with _settings(spark, _FILTER):
+    with settings(spark, BLOOM_JOIN):
         hits = staged(bodies.join(many.select(F.col("digest").alias("d")), F.col("digest") == F.col("d"), "left_semi"), "hits")
     keeper = (
         many.select(F.col("digest").alias("d"), "keeper_id", "locator")
