@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from voxlattice.llm.components import connected_components
 from voxlattice.llm.groups import map_groups, spanning_forest
 from voxlattice.llm.packing import slices
-from voxlattice.llm.scratch import small_arrow_batches, staged
+from voxlattice.llm.scratch import BLOOM_JOIN, settings, small_arrow_batches, staged
 
 SHINGLE_WORDS = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -194,7 +194,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
                     names=["doc_id", "same", "size", "nodes"],
                 )
 
-    keyed = rows.withColumn("same", F.substring(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), 1, 32))
+    keyed = rows.withColumn("same", F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
     signed = staged(keyed.mapInArrow(sign, "doc_id long, same string, size long, nodes array<long>"), "signed")
     worded = signed.where("size > 0")
     # Of copies the smallest id stands for the text.
@@ -215,8 +215,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     apart = F.least(F.lit(spread), F.ceil(F.col("m") / max(1, block_rows // 4)))
     extent = extent.select(F.col("hood").alias("h"), F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("words") / block_words), apart).alias("blocks"))
     placed = weights.join(extent, F.col("hood") + 0 == F.col("h"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    # Texts come back for the members only; the smaller side is the members'.
+    placed = staged(placed.select("rep", "same", "nodes", "hood", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block")), "placed").where("blocks > 0")
+    # Texts come back for the members only; a Bloom filter on their ids keeps the others out of the shuffle.
     texts = keyed.select(F.col("doc_id").alias("id"), F.col("same").alias("body"), "text")
     placed = placed.join(texts, (F.col("rep") == F.col("id")) & (F.col("same") == F.col("body"))).dropDuplicates(["rep", "same"])
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -249,7 +249,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
         if out[0]:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b", "links"])
 
-    found = staged(map_groups(placed, "gid", verify, "a long, b long, links long"), "links")
+    with settings(docs.sparkSession, BLOOM_JOIN):
+        found = staged(map_groups(placed, "gid", verify, "a long, b long, links long"), "links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("b is not null"))
     of_text = (
