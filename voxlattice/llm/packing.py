@@ -233,7 +233,7 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[Run],
     return runs, windows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 500) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``padded_length`` gives what a sequence is padded to.
