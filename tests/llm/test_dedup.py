@@ -60,6 +60,16 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    """Ascending ids, each linked to its predecessors only: names go by a share per round, not one by one."""
+    n = 4000
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(n)] + [(i, i - rng.randint(1, 5)) for i in range(2 * n, 3 * n)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    assert got == components({x for e in edges for x in e}, edges)
+
+
 def test_spanning_forest():
     a, b = np.array([0, 1, 5, 6, 2]), np.array([1, 2, 6, 7, 0])
     assert sorted(groups.spanning_forest(a, b, 9)) == [(1, 0), (2, 0), (6, 5), (7, 5)]

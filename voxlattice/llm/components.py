@@ -1,39 +1,46 @@
-"""Connected components over an edge table, by repeated contraction to the smallest neighbour."""
+"""Connected components over an edge table, by repeated contraction in an order that changes every round."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlattice.llm.scratch import staged
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _rank(name: str, turn: int) -> Column:
+    """Where a name stands in the order of this round; different names have different ranks."""
+    return F.xxhash64(F.lit(turn), F.col(name))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of ids -> ``(node, component)``, component being the smallest id of the node's component.
 
-    Each round renames every node to the smallest of itself and its neighbours and keeps the edges that still
-    join two names. The number of names falls geometrically, and so do the edges; all steps are aggregates and
-    equi-joins, so a node with very many edges is pre-aggregated before the shuffle and split by AQE in the
-    join. Nothing is collected. Self loops only name their node. An empty table gives an empty result; rows
-    with a null end are ignored.
+    Each round renames every node to the first of itself and its neighbours, in an order drawn anew by hash, and
+    keeps the edges that still join two names. On any graph, chains of ascending ids among them, a round is expected
+    to leave at most two thirds of the names that have edges; the last one of every component always goes, so the
+    rounds end by themselves. Names of a round are mapped to those of the last one backwards, from small tables to
+    large ones, and the smallest id of each class is taken at the end. All steps are aggregates and equi-joins, so a
+    node with very many edges is pre-aggregated before the shuffle and split by AQE in the join. Nothing is collected.
+    Self loops only name their node. An empty table gives an empty result; rows with a null end are ignored.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     live = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    names = None
-    for _ in range(max_rounds):
+    steps = []
+    while not steps or not live.isEmpty():
+        turn = len(steps)
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(live.select(F.col("b"), F.col("a")))
-        step = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "names")
-        if names is None:
-            names = step.select(F.col("u").alias("node"), F.col("p").alias("component"))
-        else:
-            names = staged(
-                names.join(step, names.component == step.u, "left").select("node", F.coalesce("p", "component").alias("component")),
-                "components",
-            )
+        first = both.groupBy("u").agg(F.min_by("v", _rank("v", turn)).alias("m"))
+        step = staged(first.select("u", F.when(_rank("m", turn) < _rank("u", turn), F.col("m")).otherwise(F.col("u")).alias("p")), "names")
+        steps.append(step)
         left = step.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         right = step.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         moved = live.join(left, "a").join(right, "b").where("pa <> pb")
         live = staged(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        if live.isEmpty():
-            return names
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    names = steps.pop()
+    while steps:
+        later = names.select(F.col("u").alias("k"), F.col("p").alias("q"))
+        names = staged(steps.pop().join(later, F.col("p") == F.col("k"), "left").select("u", F.coalesce("q", "p").alias("p")), "components")
+    # The other side's key is an expression: both sides get an exchange of their own that AQE may split.
+    least = names.groupBy("p").agg(F.min("u").alias("component")).select((F.col("p") + 0).alias("k"), "component")
+    return staged(names.join(least, F.col("p") + 0 == F.col("k")).select(F.col("u").alias("node"), "component"), "components")
