@@ -280,6 +280,21 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_short_leads_and_tails_beside_chrome():
+    """Weights are of pages whose adverts, scripts and lists all stand outside the article."""
+    menu = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">More of it</a></li></ul></nav>'
+    chrome = f'<div class="ad"><p>Buy now</p></div><script>var a = 1</script>{menu}'
+    shell = f"<html><body>{menu}{chrome}{{}}{chrome}<footer><p>old words</p></footer></body></html>"
+    long = " ".join(["word"] * 60)
+    pages = [shell.format(f"<article><h1>Some title here</h1><p>{long}</p><p>{long}</p></article>")] * 60
+    weights = html_extract.learn([(p, *html_extract.own_region(p)) for p in pages])
+    for between in ('<div class="ad">Buy now</div>', "<script>x</script>", menu, chrome, chrome * 10):
+        page = shell.format(f"<article><h1>five word title of it</h1>{between}<p>{long}</p>{between}<p>The end.</p></article>")
+        assert html_extract.main_text(page, weights) == f"five word title of it\n{long}\nThe end.", between
+    page = shell.format(f'<article><h1>A short title</h1><ul><li><a href="x">one link</a></li><li>two words</li></ul><p>{long}</p></article>')
+    assert html_extract.main_text(page, weights) == f"A short title\none link\ntwo words\n{long}"
+
+
 def test_best_region():
     assert html_extract.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
     assert html_extract.best_region([1, -1, 1]) == (0, 1) and html_extract.best_region([-1, 0]) == (0, 0) and html_extract.best_region([]) == (0, 0)

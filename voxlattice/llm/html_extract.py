@@ -142,15 +142,24 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
     tag_prior: float = -0.3
-    #: What is inside chrome is left out of the text anyway; crossing it costs little.
+    #: What is inside chrome is left out of the text anyway; a run of it costs this once, whatever it holds.
     chrome_prior: float = -0.2
     word_prior: float = 1.0
 
-    def word(self, item: Item) -> float:
-        return 0.0 if item.chrome else self.words.get(item.place, self.word_prior)
-
-    def tag(self, item: Item) -> float:
-        return self.tags.get(item.tag, self.chrome_prior if item.chrome else self.tag_prior)
+    def scores(self, seq: list[Item]) -> list[float]:
+        out, crossing = [], False
+        for x in seq:
+            if x.chrome:
+                out.append(0.0 if crossing else self.chrome_prior)
+                crossing = True
+            elif x.tag:
+                out.append(self.tags.get(x.tag, self.tag_prior))
+                crossing = False
+            else:
+                n = len(x.text.split())
+                out.append(n * self.words.get(x.place, self.word_prior))
+                crossing = crossing and not n
+        return out
 
 
 def own_region(page: str) -> tuple[int, int] | None:
@@ -161,10 +170,15 @@ def own_region(page: str) -> tuple[int, int] | None:
 
 
 def learn(pages: list[tuple[str, int, int]]) -> Weights:
-    """Weights from labelled pages (html, first character, last character of the content)."""
+    """Weights from labelled pages (html, first character, last character of the content).
+
+    Chrome is not counted: a list in a menu says nothing about one in an article.
+    """
     tags, words = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
     for page, first, last in pages:
         for x in items(page):
+            if x.chrome:
+                continue
             inside = first <= x.at < last
             if x.tag:
                 tags[inside][x.tag] += 1
@@ -194,8 +208,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     seq = items(page)
-    scores = [weights.tag(x) if x.tag else weights.word(x) * len(x.text.split()) for x in seq]
-    a, b = best_region(scores)
+    a, b = best_region(weights.scores(seq))
     blocks, run = [], []
     for x in seq[a:b]:
         if x.tag:
