@@ -367,6 +367,16 @@ def test_names_that_collide_are_rekeyed(spark, monkeypatch):
     assert len({s.name("m:Anton", a) for a in range(20)}) > 1
 
 
+def test_more_names_than_short_surrogates(spark):
+    """30 000 names of one gender; there are 28 224 surrogates without added syllables."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["N" + "".join(letters[i // 26**k % 26] for k in range(4)) for i in range(30_000)]
+    rows = [(i, " and ".join(f"Mr {n}" for n in names[i : i + 500]), "en", "a", 1) for i in range(0, len(names), 500)]
+    attempts = {r["name"]: r["attempt"] for r in pii.name_attempts(documents(spark, rows), KEY).collect()}
+    s = pii.Surrogates(KEY)
+    assert len({s.name(f"m:{n}", attempts.get(f"m:{n}", 0)) for n in names}) == len(names)
+
+
 def test_surrogate_texts(spark):
     rows = [*awkward(), (30, TEXT, "en", "a", 1), (31, TEXT, "en", "a", 1)]
     got = pii.surrogate_texts(documents(spark, rows), KEY).collect()

@@ -9,8 +9,8 @@ result is of the original's class, e.g. Luhn-valid or a public address). A permu
 different originals never share a surrogate, wherever they stand, and none is mapped to itself.
 
 Persons get a name that fits the form of address (gender) and the script, made from the key and the name. These
-are not a permutation, so the corpus's distinct names are checked: names that share a surrogate are re-keyed
-until none do. A name found after a form of address is replaced wherever it stands in that document.
+are not a permutation, so the corpus's distinct names are checked: names that share a surrogate are re-keyed, each
+time to a name one syllable longer, until none do. A name found after a form of address is replaced wherever it stands in that document.
 
 The same original always gets the same surrogate under one key: coreference holds within and across documents.
 
@@ -173,7 +173,10 @@ class Surrogates:
         return "".join(letters[(n >> 4 * k) & 15] for k in reversed(range(len(value))))
 
     def name(self, value: str, attempt: int = 0) -> str:
-        """``value``: gender, colon, name. As many parts as the original has, in its script."""
+        """``value``: gender, colon, name. As many parts as the original has, in its script.
+
+        Every attempt adds a syllable, so there are names for any number of originals.
+        """
         sex, _, name = value.partition(":")
         first, middle, last = SYLLABLES[script(name)]
         parts = []
@@ -181,7 +184,7 @@ class Surrogates:
             h = int.from_bytes(hmac.digest(self.key, f"person|{value}|{k}|{attempt}".encode(), "sha256"), "big")
             h, a = divmod(h, len(first))
             word = first[a]
-            for _ in range(2):
+            for _ in range(2 + attempt):
                 h, b = divmod(h, len(middle))
                 word += middle[b]
             ends = last[sex == "f"]
@@ -233,11 +236,12 @@ def replace(text: str, surrogates: Surrogates, attempts: dict[str, int] | None =
     return "".join([*out, text[at:]]), kept
 
 
-def name_attempts(docs: DataFrame, key: bytes, text_col: str = "text", max_rounds: int = 20) -> DataFrame:
+def name_attempts(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``(name, attempt)`` of the corpus's names whose first surrogate another name also has.
 
     The collision check: distinct names -> surrogates -> groups of more than one; all but the least name of a
-    group are re-keyed, round by round, until no two names share a surrogate.
+    group are re-keyed, round by round, until no two names share a surrogate. Longer surrogates are ever less likely to
+    be shared, so the rounds end for any number of names.
     """
     spark = docs.sparkSession
 
@@ -252,14 +256,13 @@ def name_attempts(docs: DataFrame, key: bytes, text_col: str = "text", max_round
     sex = F.when(F.regexp_extract("m", r"^\p{L}+", 0).isin(MALE), "m").otherwise("f")
     names = names.select(F.concat(sex, F.lit(":"), F.regexp_replace("m", r"^\p{L}+\.?\h", "")).alias("name")).distinct()
     current = staged(names.select("name", F.lit(0).alias("attempt")), "names")
-    for _ in range(max_rounds):
+    while True:
         given = staged(current.mapInArrow(surrogate, "name string, attempt int, surrogate string"), "surrogates")
         shared = given.groupBy("surrogate").agg(F.min("name").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
         if shared.isEmpty():
             return given.where("attempt > 0").select("name", "attempt")
         moved = given.join(shared.withColumnRenamed("surrogate", "s"), F.col("surrogate") == F.col("s"), "left")
         current = moved.select("name", F.when(F.col("least") != F.col("name"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
-    raise RuntimeError(f"names still share surrogates after {max_rounds} rounds of re-keying")
 
 
 def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
