@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlattice.llm.scratch import small_arrow_batches
 
 #: Pages that ``fit`` reads at most.
 SAMPLE_PAGES = 400
@@ -240,7 +239,6 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) ->
 
 def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row, from its whole html."""
-    small_arrow_batches(pages.sparkSession)
     weights = weights or fit(pages, html_col)
     held = pages.sparkSession.sparkContext.broadcast(weights)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

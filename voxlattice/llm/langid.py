@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlattice.llm.packing import slices
-from voxlattice.llm.scratch import small_arrow_batches
 
 #: Labelled documents of each language that training reads at most, and bytes of each.
 SAMPLE_PER_LANG = 400
@@ -281,7 +280,6 @@ def predict(docs: DataFrame, model: BiGru, text_col: str = "text", keep: list[Co
 
     With ``least`` only the rows whose language is determined with at least that score.
     """
-    small_arrow_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     # Texts without a letter need no network; the others go to it whole.
     rows = docs.select(*(keep or []), F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__read"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from voxlattice.llm.components import connected_components
 from voxlattice.llm.groups import map_groups, spanning_forest
 from voxlattice.llm.packing import slices
-from voxlattice.llm.scratch import BLOOM_JOIN, settings, small_arrow_batches, staged
+from voxlattice.llm.scratch import BLOOM_JOIN, settings, staged
 
 SHINGLE_WORDS = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +174,6 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     >= ``threshold``, ``n_copies`` the number of other rows with the same text, ``kept`` whether the row is the
     one of its class that stays (smallest id).
     """
-    small_arrow_batches(docs.sparkSession)
     depth = prefix_length(threshold, trees, longest_prefix, target_recall)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(id_col).isNotNull(), F.col(text_col)).alias("text"))
 

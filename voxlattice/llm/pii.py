@@ -1,113 +1,248 @@
 """Surrogates for personal data: keyed, consistent in type and format, distinct for distinct originals.
 
-Kinds: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, social security numbers, IBANs,
-secrets (tokens, keys, passwords) and persons named after a form of address.
+Kinds: e-mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn-valid), social security numbers, IBANs
+(mod-97-valid), secrets (tokens, keys, passwords) and persons named after a form of address.
 
 Numbers and identifiers go through a keyed permutation of all strings of their format (letters stay letters of the
-same case, digits digits, punctuation stays; a Feistel network on the format's index, walked on until the
-result is of the original's class, e.g. Luhn-valid or a public address). A permutation is injective, so two
-different originals never share a surrogate, wherever they stand, and none is mapped to itself.
-
-Persons get a name that fits the form of address (gender) and the script, made from the key and the name. These
-are not a permutation, so the corpus's distinct names are checked: names that share a surrogate are re-keyed, each
-time to a name one syllable longer, until none do. A name found after a form of address is replaced wherever it stands in that document.
-
-The same original always gets the same surrogate under one key: coreference holds within and across documents.
-
-Defined results: null text stays null with 0 entities; texts without entities stay as they are; repeated rows
-get equal results; overlapping finds are resolved by the earlier start, then the longer; other columns are
-ignored; an empty table gives an empty result.
+same case and script, digits digits, punctuation stays, check digits are made anew): a Feistel network on the format's
+index, without fixed points. A permutation is injective, so two different originals never share a surrogate. One number
+written in several ways has one surrogate, written in the same ways.
+
+Persons are handled by the words of their names: each word gets a word that fits gender and script, made from the key
+and the word, so that a family name alone is tied to the full name. The gender is that of the mention's own form of
+address; a bare mention takes it from the last one before it. A word found after a form of address is replaced wherever
+it stands in that document. Particles (van, de) stay; initials get initials.
+
+The collision check: the corpus's distinct originals are gathered exactly as they are replaced, and those whose
+surrogate is shared, or is itself an original of the corpus, are re-keyed until none is (names grow by a syllable each
+time). Formats of which the corpus uses more than a quarter keep their first permutation, which may give another
+original. The same original always gets the same surrogate under one key and corpus.
+
+Defined results: null text stays null with 0 entities; texts without entities stay as they are; repeated rows get
+equal results; overlapping finds are resolved by the earlier start, then the longer; digits other than 0-9 are no numbers;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
+import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlattice.llm.scratch import small_arrow_batches, staged
+from voxlattice.llm.scratch import discard, staged
 
-#: Forms of address by gender.
-MALE = "Mr Mister Herr Herrn Monsieur Señor Don".split()
-FEMALE = "Mrs Ms Miss Frau Madame Mademoiselle Mme Señora Señorita Doña".split()
+#: Forms of address by gender, and those of either.
+MALE = "Mr Mister Sir Lord Herr Herrn Monsieur Señor Sr Signor Don MR HERR господин Господин г-н Г-н κύριος Κύριος κύριε Κύριε κος Κος".split()
+FEMALE = "Mrs Ms Miss Lady Dame Madam Frau Fräulein Madame Mademoiselle Mme Mlle Señora Sra Señorita Srta Signora Doña MRS FRAU госпожа Госпожа г-жа Г-жа κυρία Κυρία κα Κα".split()
+EITHER = "Dr Doctor Prof Professor Mx DR PROF доктор Доктор профессор Профессор δρ Δρ".split()
+#: Words of names that say nothing about whose they are.
+PARTICLES = "van von der den de du des del della di da dos la le zu zur ter ten bin ibn al el y e".split()
 #: How surrogate names are built, by script: beginnings, middles, and endings by gender.
 SYLLABLES = {
     "Latin": ("Al Ber Cor Dan El Fer Gal Har Ir Jor Kal Lor Mar Nor Or Pal Quin Ros Sal Tor Ul Val Wil Yor".split(), "a be co di e fi go la me ni ro sa ti ve".split(), ("dan ric mus bert ton vin".split(), "lia nna ssa rine tta belle".split())),
     "Cyrillic": ("Бор Вал Гор Дар Ев Зах Иг Кор Лев Мар Ник Ор Пав Ром Сав Тих".split(), "а ве и ко ла ми ни ро са ти".split(), ("слав мир дан тин лий".split(), "слава мира дана тина лия".split())),
     "Greek": ("Αλ Βασ Γερ Δαμ Ερ Ζαν Ηλ Θε Ιασ Καλ Λαμ Μαρ Νικ Ορ".split(), "α ε ι ο λα μι νο ρα".split(), ("νος ρης δης".split(), "να ρα δα".split())),
 }
-
-_ADDRESS = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_ADDRESS})\.?\h\p{{Lu}}\p{{Ll}}+(?:[\h-]\p{{Lu}}\p{{Ll}}+)?"
-#: What a text must hold for Python to look at it at all; the JVM tests this.
-TRIGGER = rf"@|[0-9][^\n]{{0,9}}[0-9]|(?i:token|secret|key|passw|pwd)|(?:{_ADDRESS})"
-
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Alphabets inside which characters are exchanged; capitals follow their small letters.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+#: How telephone country codes of one and two digits begin; all others have three.
+_SHORT_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+#: How well-known secrets begin.
+_MARKED = r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ"
+
+_PLACE = {c: (radix, i) for radix, letters in enumerate(ALPHABETS) for i, c in enumerate(letters)}
+_ADDRESS = "|".join(regex.escape(x) for x in sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
+_SP = r"[^\S\n\r]{1,2}"
+_WORD = r"\p{Lu}(?:\p{M}|\p{L}|['’](?=\p{Lu}))++"
+_INITIAL = r"\p{Lu}\."
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)}){_SP}){{0,3}}"
+_TOKEN = rf"(?!(?:{_ADDRESS})(?![\p{{L}}\p{{N}}]))(?:{_WORD}|{_INITIAL})"
+_PERSON = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?P<address>(?:(?:{_ADDRESS})(?:\.\s{{0,3}}|\s{{1,3}})){{1,4}})(?P<name>{_SMALL}{_TOKEN}(?:(?:{_SP}|[-‐]|(?<=\.)){_SMALL}{_TOKEN})*+)")
+_TOKENS = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{_WORD}|{_INITIAL})")
+_BETWEEN = regex.compile(rf"(?:{_SP}|[-‐]){_SMALL}")
+#: What a text must hold to be looked at.
+TRIGGER = rf"@|[0-9][^\n]{{0,9}}[0-9]|(?i:token|secret|key|passw|pwd)|{_MARKED}|(?:{_ADDRESS.replace(chr(92) + '-', '-')})"
+
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _GAP = r"[^\w\n]{1,8}"
-_PERSON = regex.compile(PERSON.replace(r"\h", "[ \t]"))
-_FIND = regex.compile(
-    "|".join(
-        [
-            r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63})+)",
-            rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))",
-            r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
-            rf"(?P<phone>(?<![\w+])\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3}}{_GAP}?\d{{4}}(?!\d)|(?<![\w(])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\w+])\+\d{{8,15}}(?!\d))",
-            r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-            r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
-            rf"(?P<secret>(?i:\b(?:token|secret|api[_ -]?key|access[_ -]?key|password|passwd|pwd)\b)[^\w\n]{{0,6}}[=:][^\w\n]{{0,8}}(?P<value>[A-Za-z0-9_/+-]{{8,}}))",
-        ]
-    )
+_EMAIL = re.compile(r"(?<![\w.%+-])\w[\w.%+-]{0,63}@[^\W_][\w-]{0,62}(?:\.[\w-]{1,63})*\.[^\W\d_][\w-]{1,62}")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_NUMBER = re.compile(
+    rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9]))"
+    rf"|(?P<phone>(?<![\w+])\+[0-9]{{1,3}}{_GAP}\(?[0-9]{{2,4}}\)?{_GAP}[0-9]{{3}}{_GAP}?[0-9]{{4}}(?![0-9])"
+    r"|(?<![\w+])\+[0-9](?:[^\S\n]?[(]?[ ./)-]{0,2}[0-9]){7,14}(?![0-9])"
+    r"|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])"
+    r"|(?<![\w.+/-])[0-9]{3}([-. ])[0-9]{3}\3[0-9]{4}(?![\w-]|\.[0-9])"
+    r"|(?<![\w.,+/-])(?=(?:[ /-]?[0-9]){9,12}(?![\w/-]|[ .,]?[0-9]))0[0-9]{1,4}[ /-][0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}(?![\w/-]|[ .,]?[0-9]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
+)
+_SECRET = re.compile(
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?P<block>[A-Za-z0-9+/=\s]+)-----END"
+    rf"|(?<!\w)(?P<marked>(?:{_MARKED})[A-Za-z0-9_.-]{{10,}})"
+    r"""|(?i:\b(?:token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|password|passwd|pwd)\b)[^\w\n]{0,6}[=:][^\w\n]{0,8}(?P<value>(?<=")[^"\s]{8,}(?=")|(?<=')[^'\s]{8,}(?=')|[^\s"'<>,;|]{8,})"""
 )
+_SECRET_HINT = re.compile(rf"(?i:token|secret|key|passw|pwd)|{_MARKED}")
 KINDS = ("email", "ip", "iban", "phone", "ssn", "card", "secret", "person")
+_CHUNK = 48
 
 
 @dataclass(frozen=True)
 class Entity:
+    """``parts``: what is replaced inside: (kind, canonical original, start, end). Only persons have several."""
+
     kind: str
     start: int
     end: int
     original: str
+    parts: tuple[tuple[str, str, int, int], ...]
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        n = int(d) * (1 + i % 2)
-        total += n - 9 * (n > 9)
-    return total % 10 == 0
+    return _luhn_sum(digits) % 10 == 0
 
 
-def detect(text: str) -> list[Entity]:
-    """Entities in order, without overlap."""
-    found: list[Entity] = []
-    for m in _FIND.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "value" else "secret"
-        kind = next(k for k in KINDS[:-1] if m.group(k) is not None)
-        start, end = m.span("value" if kind == "secret" else kind)
+def _luhn_sum(digits: str) -> int:
+    twice = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
+    return sum(twice[int(d)] if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
+
+
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def canonical(kind: str, value: str) -> str:
+    """One string for all ways to write an original."""
+    if kind == "email":
+        return value.lower()
+    if kind in ("card", "ssn"):
+        return re.sub(r"[^0-9]", "", value)
+    if kind == "phone":
+        digits = re.sub(r"[^0-9]", "", value)
+        if not value.startswith("+"):
+            return digits
+        short = _SHORT_CODES.match(digits)
+        code = len(short.group()) if short else 3
+        return f"+{digits[:code]}|{digits[code:]}"
+    return value.replace(" ", "") if kind == "iban" else value
+
+
+def _shorter(value: str, good, least: int) -> int:
+    """Length of the longest beginning of ``value``, cut between groups, whose bare characters are ``good``; or 0."""
+    ends = [len(value), *(i for i in range(len(value) - 1, 0, -1) if value[i] in " -")]
+    for end in ends:
+        bare = value[:end].replace(" ", "").replace("-", "")
+        if len(bare) < least:
+            break
+        if good(bare):
+            return end
+    return 0
+
+
+def _card(digits: str) -> bool:
+    return len(digits) <= 19 and luhn(digits) and not (len(digits) == 13 and digits.startswith(("978", "979"))) and len(set(digits)) > 1
+
+
+def _formatted(text: str) -> list[Entity]:
+    found = []
+
+    def add(kind: str, start: int, end: int) -> None:
         value = text[start:end]
-        if kind == "secret" and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue
-        found.append(Entity(kind, start, end, value))
-    names: dict[str, str] = {}
+        found.append(Entity(kind, start, end, value, ((kind, canonical(kind, value), start, end),)))
+
+    if "@" in text:
+        for m in _EMAIL.finditer(text):
+            add("email", *m.span())
+    for m in _NUMBER.finditer(text):
+        kind, (start, end) = next(k for k in ("ip", "phone", "ssn", "card") if m.group(k) is not None), m.span()
+        if kind == "card":
+            end = start + _shorter(m.group(), _card, 13)
+        if end > start:
+            add(kind, start, end)
+    for m in _IBAN.finditer(text):
+        if n := _shorter(m.group(), lambda v: len(v) <= 34 and _mod97(v) == 1, 15):
+            add("iban", m.start(), m.start() + n)
+    if _SECRET_HINT.search(text):
+        for m in _SECRET.finditer(text):
+            name = next(k for k in ("block", "marked", "value") if m.group(k) is not None)
+            value = m.group(name)
+            if any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value):
+                add("secret", *m.span(name))
+    return found
+
+
+def _persons(text: str) -> list[Entity]:
+    """Names after forms of address, and all other mentions of their words."""
+    said: dict[str, list[tuple[int, str]]] = {}
     for m in _PERSON.finditer(text):
-        address, name = regex.split(r"\.?[ \t]", m.group(), maxsplit=1)
-        names.setdefault(name, address)
-    if names:
-        any_name = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(n) for n in sorted(names, key=len, reverse=True)) + r")(?![\p{L}\p{N}])")
-        taken = [(e.start, e.end) for e in found]
-        for m in any_name.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append(Entity("person", m.start(), m.end(), f"{gender(names[m.group()])}:{m.group()}"))
-    return sorted(found, key=lambda e: (e.start, -e.end))
+        words = regex.split(r"[\s.]+", m.group("address"))
+        sex = next((s for w in words for s, group in (("m", MALE), ("f", FEMALE)) if w in group), "n")
+        for t in _TOKENS.finditer(text, *m.span("name")):
+            if not t.group().endswith("."):
+                said.setdefault(t.group().casefold(), []).append((t.start(), sex))
+    if not said:
+        return [_person(text, [(t, "n")]) for m in _PERSON.finditer(text) for t in _TOKENS.finditer(text, *m.span("name"))]
+    titled = [m.span("name") for m in _PERSON.finditer(text)]
+    ends = [b for _, b in titled]
+
+    def sex_at(word: str, at: int) -> str:
+        mentions = said[word]
+        known = [x for x in mentions if x[1] != "n"] or mentions
+        own = mentions[max(0, bisect_right(mentions, (at, "~")) - 1)]
+        if own[0] == at and own[1] != "n":
+            return own[1]
+        return known[max(0, bisect_right(known, (at, "~")) - 1)][1]
+
+    tokens: list[tuple[regex.Match, str]] = []
+    out: list[Entity] = []
+    for t in _TOKENS.finditer(text):
+        word, i = t.group().casefold(), bisect_right(ends, t.start())
+        inside = i < len(titled) and titled[i][0] <= t.start()
+        if t.group().endswith("."):
+            if not inside:
+                continue
+            sex = "n"
+        elif word in said:
+            sex = sex_at(word, t.start())
+        else:
+            continue
+        if tokens and (_BETWEEN.fullmatch(text, tokens[-1][0].end(), t.start()) or inside and titled[i][0] <= tokens[-1][0].start()):
+            tokens.append((t, sex))
+        else:
+            if tokens:
+                out.append(_person(text, tokens))
+            tokens = [(t, sex)]
+    if tokens:
+        out.append(_person(text, tokens))
+    return out
+
+
+def _person(text: str, tokens: list) -> Entity:
+    start, end = tokens[0][0].start(), tokens[-1][0].end()
+    parts = tuple(("initial" if t.group().endswith(".") else "person", f"{sex}:{t.group().casefold()}", *t.span()) for t, sex in tokens)
+    return Entity("person", start, end, text[start:end], parts)
 
 
-def gender(address: str) -> str:
-    return "m" if address in MALE else "f"
+def detect(text: str) -> list[Entity]:
+    """Entities in order, without overlap: the earlier start wins, then the longer."""
+    out: list[Entity] = []
+    for e in sorted(_formatted(text), key=lambda e: (e.start, -e.end)):
+        if not out or e.start >= out[-1].end:
+            out.append(e)
+    persons = _persons(text)
+    if not persons:
+        return out
+    starts, ends = [e.start for e in out], [e.end for e in out]
+    free = [p for p in persons if bisect_left(starts, p.end) == bisect_right(ends, p.start)]
+    return sorted(out + free, key=lambda e: e.start)
 
 
 def script(name: str) -> str:
@@ -117,152 +252,253 @@ def script(name: str) -> str:
     return "Latin"
 
 
+def _ip_number(value: str) -> int:
+    return int.from_bytes(bytes(map(int, value.split("."))), "big")
+
+
+def _ip_block(n: int) -> tuple[int, int] | None:
+    """First address and bits of the private block that an address is in."""
+    return next((b for b in ((0x0A000000, 24), (0x7F000000, 24), (0xC0A80000, 16), (0xAC100000, 20)) if n >> b[1] == b[0] >> b[1]), None)
+
+
 class Surrogates:
-    """The keyed mapping of originals to surrogates. ``overrides``: attempts of names that had collisions."""
+    """The keyed mapping of originals to surrogates; ``attempt`` counts how often an original was re-keyed."""
 
     def __init__(self, key: bytes):
         self.key = key
 
-    def _round(self, kind: str, size: int, i: int, half: int, bits: int) -> int:
-        data = f"{kind}|{size}|{i}|{half}".encode()
-        return int.from_bytes(hmac.digest(self.key, data, "sha256") + hmac.digest(self.key, data + b"+", "sha256"), "big") & ((1 << bits) - 1)
+    def _round(self, tweak: bytes, i: int, half: int, bits: int) -> int:
+        data = b"%d|%d|%d|" % (len(tweak), i, bits) + tweak + half.to_bytes((bits + 7) // 8, "big")
+        return int.from_bytes(hashlib.shake_256(self.key + data).digest((bits + 7) // 8), "big") & ((1 << bits) - 1)
+
+    def _permute(self, tweak: bytes, x: int, size: int, backwards: bool = False) -> int:
+        """A keyed permutation of range(size): balanced Feistel on enough bits, walked back into the range.
 
-    def _permute(self, kind: str, x: int, size: int, backwards: bool = False) -> int:
-        """A keyed permutation of range(size): balanced Feistel on enough bits, walked back into the range."""
+        The index space is less than four times the range, so the walk is expected to end within four steps; it does end, as
+        the permutation leads back to where it began.
+        """
         bits = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << bits) - 1
         while True:
             left, right = x >> bits, x & mask
             for i in reversed(range(8)) if backwards else range(8):
                 if backwards:
-                    left, right = right ^ self._round(kind, size, i, left, bits), left
+                    left, right = right ^ self._round(tweak, i, left, bits), left
                 else:
-                    left, right = right, left ^ self._round(kind, size, i, right, bits)
+                    left, right = right, left ^ self._round(tweak, i, right, bits)
             x = left << bits | right
             if x < size:
                 return x
 
     def _moved(self, kind: str, x: int, size: int) -> int:
         """A permutation without fixed points: one step along a keyed cycle through the whole range."""
-        return self._permute(kind, (self._permute(kind, x, size) + 1) % size, size, backwards=True)
+        tweak = f"{kind}|{size}".encode()
+        return self._permute(tweak, (self._permute(tweak, x, size) + 1) % size, size, backwards=True)
 
     def by_format(self, kind: str, value: str, fixed: int = 0) -> str:
-        """Letters to letters of the same case, digits to digits; the rest and the first ``fixed`` characters stay."""
-        radix = [0 if i < fixed else 10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 0 for i, c in enumerate(value)]
-        shape = "".join(c if not r else "9" if r == 10 else "a" if c.islower() else "A" for c, r in zip(value, radix, strict=True))
-        size = x = 0
-        size = 1
-        for c, r in zip(value, radix, strict=True):
-            if r:
-                x = x * r + (ord(c) - 48 if r == 10 else (ord(c) | 32) - 97)
-                size *= r
+        """Every letter and digit to one of its own alphabet and case; the rest and the first ``fixed`` characters stay.
+
+        Long values go chunk by chunk, each permuted under what came before it, so the whole stays injective.
+        """
+        out, passed = [value[:fixed]], hashlib.blake2b(digest_size=16)
+        for a in range(fixed, len(value), _CHUNK):
+            chunk = value[a : a + _CHUNK]
+            out.append(self._chunk(f"{kind}|{passed.hexdigest() if a > fixed else ''}", chunk))
+            passed.update(chunk.encode("utf-8", "surrogatepass"))
+        return "".join(out)
+
+    def _chunk(self, kind: str, value: str) -> str:
+        places = [_PLACE.get(c) or _PLACE.get(c.lower()) for c in value]
+        shape = "".join(c if p is None else f"\0{p[0]}{c.lower() != c}" for c, p in zip(value, places, strict=True))
+        size, x = 1, 0
+        for p in places:
+            if p:
+                x = x * len(ALPHABETS[p[0]]) + p[1]
+                size *= len(ALPHABETS[p[0]])
         if size == 1:
             return value
         x, out = self._moved(f"{kind}|{shape}", x, size), []
-        for c, r in zip(reversed(value), reversed(radix), strict=True):
-            if r:
-                x, d = divmod(x, r)
-                c = chr(48 + d) if r == 10 else chr((97 if c.islower() else 65) + d)
+        for c, p in zip(reversed(value), reversed(places), strict=True):
+            if p:
+                letters = ALPHABETS[p[0]]
+                x, d = divmod(x, len(letters))
+                c = letters[d].upper() if c != c.lower() else letters[d]
             out.append(c)
         return "".join(reversed(out))
 
-    def _hex(self, value: str) -> str:
+    def _hex(self, kind: str, value: str) -> str:
         letters = "0123456789abcdef" if value == value.lower() else "0123456789ABCDEF"
-        size, n = 16 ** len(value), int(value, 16)
-        n = self._moved(f"hex|{len(value)}|{letters[-1]}", n, size)
+        n = self._moved(f"{kind}|hex|{len(value)}|{letters[-1]}", int(value, 16), 16 ** len(value))
         return "".join(letters[(n >> 4 * k) & 15] for k in reversed(range(len(value))))
 
     def name(self, value: str, attempt: int = 0) -> str:
-        """``value``: gender, colon, name. As many parts as the original has, in its script.
-
-        Every attempt adds a syllable, so there are names for any number of originals.
-        """
-        sex, _, name = value.partition(":")
-        first, middle, last = SYLLABLES[script(name)]
-        parts = []
-        for k, _ in enumerate(regex.split(r"[ \t-]", name)):
-            h = int.from_bytes(hmac.digest(self.key, f"person|{value}|{k}|{attempt}".encode(), "sha256"), "big")
-            h, a = divmod(h, len(first))
-            word = first[a]
-            for _ in range(2 + attempt):
-                h, b = divmod(h, len(middle))
-                word += middle[b]
-            ends = last[sex == "f"]
-            parts.append(word + ends[h % len(ends)])
-        return (" " if " " in name or "-" not in name else "-").join(parts)
+        """``value``: gender, colon, one word of a name. Every attempt adds a syllable: there are names for any number of originals."""
+        sex, _, word = value.partition(":")
+        first, middle, last = SYLLABLES[script(word)]
+        h = int.from_bytes(hashlib.shake_256(self.key + f"person|{value}|{attempt}".encode()).digest(32 + attempt), "big")
+        h, a = divmod(h, len(first))
+        out = first[a]
+        for _ in range(2 + attempt):
+            h, b = divmod(h, len(middle))
+            out += middle[b]
+        ends = {"m": last[0], "f": last[1]}.get(sex) or [*last[0], *last[1]]
+        return out + ends[h % len(ends)]
+
+    def _ip(self, kind: str, value: str) -> str:
+        """Private addresses inside their own block, public ones among the public."""
+        n = _ip_number(value)
+        if own := _ip_block(n):
+            m = own[0] + self._moved(f"{kind}|{own[0]}", n - own[0], 1 << own[1])
+        else:
+            m = self._moved(kind, n, 1 << 32)
+            while _ip_block(m):  # less than one in a hundred
+                m = self._moved(kind, m, 1 << 32)
+        return ".".join(map(str, m.to_bytes(4, "big")))
 
     def of(self, kind: str, value: str, attempt: int = 0) -> str:
+        """The canonical surrogate of a canonical original."""
+        tweak = f"{kind}|{attempt}"
         if kind == "person":
             return self.name(value, attempt)
+        if kind == "initial":
+            return self.by_format(kind, value.partition(":")[2])
         if kind == "ip":
-            size, n = 1 << 32, 0
-            for octet in value.split("."):
-                n = n << 8 | int(octet)
-            private = lambda n: n >> 24 in (10, 127) or n >> 16 == 0xC0A8 or n >> 20 == 0xAC1
-            m = self._moved("ip", n, size)
-            while private(m) != private(n) or m == n:
-                m = self._moved("ip", m, size)
-            return ".".join(str(m >> s & 255) for s in (24, 16, 8, 0))
+            return self._ip(tweak, value)
         if kind == "email":
+            # The top-level label stays.
             local, _, host = value.partition("@")
-            # The top-level label stays; case is part of the format.
-            labels = host.split(".")
-            return f"{self.by_format('local', local)}@{'.'.join(self.by_format('host', x) for x in labels[:-1])}.{labels[-1]}"
+            host, _, top = host.rpartition(".")
+            return f"{self.by_format(tweak, local + '@' + host)}.{top}"
         if kind == "card":
-            is_valid = lambda v: luhn(regex.sub(r"\D", "", v))
-            out = self.by_format(kind, value)
-            while is_valid(out) != is_valid(value) or out == value:
-                out = self.by_format(kind, out)
-            return out
-        if kind == "phone" and value.startswith("+"):
-            code = regex.match(r"\+\d{1,3}(?!\d)|\+\d", value).end()
-            return self.by_format(kind, value, code)
+            body = self.by_format(tweak, value[:-1])
+            return body + str(-_luhn_sum(body + "0") % 10)
         if kind == "iban":
-            return self.by_format(kind, value, 2)
-        if kind == "secret" and regex.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
-            return self._hex(value)
-        return self.by_format(kind, value)
+            body = self.by_format(tweak, value[4:])
+            return f"{value[:2]}{98 - _mod97(value[:2] + '00' + body):02d}{body}"
+        if kind == "phone":
+            return self.by_format(tweak, value, value.find("|") + 1)
+        if kind == "secret":
+            if re.fullmatch(r"[0-9a-f]{8,128}|[0-9A-F]{8,128}", value):
+                return self._hex(tweak, value)
+            marked = re.match(_MARKED, value)
+            out = self.by_format(tweak, value, marked.end() if marked else 0)
+            for _ in range(64):  # what is not hexadecimal stays so; of 8 characters and more hardly one in a hundred is
+                if not re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", out):
+                    break
+                out = self.by_format(tweak, out, marked.end() if marked else 0)
+            return out
+        return self.by_format(tweak, value)
+
+
+def room(kind: str, value: str) -> tuple[str, float]:
+    """(format, how many originals it has): what a permutation can choose from."""
+    shape = "".join(c if (p := _PLACE.get(c) or _PLACE.get(c.lower())) is None else str(p[0]) + "+" * (c.lower() != c) for c in value[:_CHUNK])
+    size = 1.0
+    for c in value[:_CHUNK]:
+        if p := _PLACE.get(c) or _PLACE.get(c.lower()):
+            size *= len(ALPHABETS[p[0]])
+    if kind == "phone" and "|" in value:
+        code = value.partition("|")[0]
+        return code + shape[len(code) :], size / 10.0 ** (len(code) - 1)
+    if kind == "email":
+        top = value.rpartition(".")[2]
+        return f"{shape}|{top}", size / 26.0 ** len(top)
+    if kind == "iban":
+        return value[:2] + shape, size / 67600.0
+    if kind == "ip":
+        first, bits = _ip_block(_ip_number(value)) or (0, 32)
+        return str(first), float(1 << bits)
+    return shape, size / 10.0 if kind == "card" else size
+
+
+def dress(kind: str, value: str, surrogate: str) -> str:
+    """A canonical surrogate written as ``value`` is."""
+    if kind == "person":
+        return surrogate.upper() if value.isupper() else surrogate
+    if kind == "initial":
+        return surrogate.upper()
+    if kind == "email":
+        return "".join(s.upper() if c != c.lower() else s for c, s in zip(value, surrogate, strict=True))
+    if kind in ("card", "ssn", "phone"):
+        digits = iter(re.sub(r"[^0-9]", "", surrogate))
+        return "".join(next(digits) if "0" <= c <= "9" else c for c in value)
+    if kind == "iban":
+        chars = iter(surrogate)
+        return "".join(c if c == " " else next(chars) for c in value)
+    return surrogate
 
 
 def replace(text: str, surrogates: Surrogates, attempts: dict[str, int] | None = None) -> tuple[str, list[Entity]]:
     found, out, at = detect(text), [], 0
-    kept = []
     for e in found:
-        if e.start < at:
-            continue
-        out += [text[at : e.start], surrogates.of(e.kind, e.original, (attempts or {}).get(e.original, 0))]
-        at = e.end
-        kept.append(e)
-    return "".join([*out, text[at:]]), kept
+        for kind, value, start, end in e.parts:
+            new = surrogates.of(kind, value, (attempts or {}).get(f"{kind}|{value}", 0))
+            out += [text[at:start], dress(kind, text[start:end], new)]
+            at = end
+    return "".join([*out, text[at:]]), found
+
+
+def _due(texts: pa.Array) -> list[int]:
+    """Places of the texts that need a look."""
+    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, TRIGGER), False)).to_pylist()
 
 
-def name_attempts(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """``(name, attempt)`` of the corpus's names whose first surrogate another name also has.
+def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(h, kind, original, format, room)``: what each text with entities names; ``h`` is the text's SHA-256."""
 
-    The collision check: distinct names -> surrogates -> groups of more than one; all but the least name of a
-    group are re-keyed, round by round, until no two names share a surrogate. Longer surrogates are ever less likely to
-    be shared, so the rounds end for any number of names.
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            texts = batch.column("text")
+            for i in _due(texts):
+                text = texts[i].as_py()
+                parts = {(k, v) for e in detect(text) for k, v, _, _ in e.parts if k != "initial"}
+                h = hashlib.sha256(text.encode()).hexdigest() if parts else ""
+                for kind, value in sorted(parts):
+                    fmt, size = ("", 0.0) if kind == "person" else room(kind, value)
+                    for column, x in zip(out, (h, kind, value, fmt, size), strict=True):
+                        column.append(x)
+            types = [pa.string()] * 4 + [pa.float64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "kind", "original", "format", "room"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h string, kind string, original string, format string, room double")
+
+
+def rekeyed(found: DataFrame, key: bytes) -> DataFrame:
+    """``(kind, original, attempt)`` of the originals in ``found(kind, original, format, room)`` that are re-keyed.
+
+    Distinct originals -> surrogates -> those shared by several, or equal to an original. All but the least
+    original of a shared surrogate are re-keyed, round by round, until nothing is left. Names grow with every round and
+    other formats have at least three times as many free values as originals, so the rounds end.
     """
-    spark = docs.sparkSession
 
     def surrogate(batches):
         s = Surrogates(key)
         for b in batches:
-            names = [s.name(n, a) for n, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(names, pa.string())], names=["name", "attempt", "surrogate"])
-
-    mentions = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PERSON), F.lit(0)))
-    names = docs.where(F.col(text_col).rlike(PERSON)).select(mentions.alias("m")).distinct()
-    sex = F.when(F.regexp_extract("m", r"^\p{L}+", 0).isin(MALE), "m").otherwise("f")
-    names = names.select(F.concat(sex, F.lit(":"), F.regexp_replace("m", r"^\p{L}+\.?\h", "")).alias("name")).distinct()
-    current = staged(names.select("name", F.lit(0).alias("attempt")), "names")
+            kinds, values, attempts = (b.column(i).to_pylist() for i in range(3))
+            out = [s.of(k, v, a) for k, v, a in zip(kinds, values, attempts, strict=True)]
+            out = [x.casefold() if k == "person" else x for k, x in zip(kinds, out, strict=True)]
+            yield pa.record_batch([*b.columns[:3], pa.array(out, pa.string())], names=["kind", "original", "attempt", "surrogate"])
+
+    originals = staged(found.groupBy("kind", "original").agg(F.first("format").alias("format"), F.first("room").alias("room")), "originals")
+    crowded = originals.where("kind <> 'person'").groupBy("kind", "format").agg(F.count(F.lit(1)).alias("n"), F.first("room").alias("room")).where("n * 4 > room")
+    open_ = originals.join(crowded.select("kind", "format"), ["kind", "format"], "left_anti")
+    # A name's word without its gender, as surrogates are.
+    bare = F.when(F.col("kind") == "person", F.substring("original", 3, 1 << 20)).otherwise(F.col("original"))
+    taken = originals.select(F.col("kind").alias("k"), bare.alias("s")).distinct()
+    current = staged(open_.select("kind", "original", F.lit(0).alias("attempt")), "attempts")
     while True:
-        given = staged(current.mapInArrow(surrogate, "name string, attempt int, surrogate string"), "surrogates")
-        shared = given.groupBy("surrogate").agg(F.min("name").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        if shared.isEmpty():
-            return given.where("attempt > 0").select("name", "attempt")
-        moved = given.join(shared.withColumnRenamed("surrogate", "s"), F.col("surrogate") == F.col("s"), "left")
-        current = moved.select("name", F.when(F.col("least") != F.col("name"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
+        given = staged(current.mapInArrow(surrogate, "kind string, original string, attempt int, surrogate string"), "surrogates")
+        shared = given.groupBy("kind", "surrogate").agg(F.min("original").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "surrogate", "least")
+        real = given.join(taken, F.expr("kind = k and surrogate = s"), "left_semi").select("kind", "surrogate").distinct().withColumn("real", F.lit(True))
+        due = given.join(shared, ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
+        due = due.withColumn("due", F.coalesce("real", F.lit(False)) | F.coalesce(F.col("least") != F.col("original"), F.lit(False)))
+        due = staged(due.select("kind", "original", "attempt", "due"), "attempts")
+        discard(given)
+        if due.where("due").isEmpty():
+            discard(originals)
+            return due.where("attempt > 0").select("kind", "original", "attempt")
+        current = due.select("kind", "original", (F.col("attempt") + F.col("due").cast("int")).alias("attempt"))
 
 
 def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,38 +506,33 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
 
     ``kinds`` maps each kind found to its number.
     """
-    small_arrow_batches(docs.sparkSession)
-    attempts = name_attempts(docs, key, text_col)
+    found = staged(mentions(docs, text_col), "mentions")
+    again = rekeyed(found, key)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("look", F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False)))
-    if attempts.isEmpty():
+    if again.isEmpty():
         rows = rows.withColumn("again", F.lit(None).cast("map<string,int>"))
     else:
-        # Texts that mention a re-keyed name get that name's attempt through a join, whatever their number.
-        sex = F.when(F.regexp_extract("m", r"^\p{L}+", 0).isin(MALE), "m").otherwise("f")
-        said = rows.where(F.col("text").rlike(PERSON)).select(F.sha2("text", 256).alias("h"), F.explode(F.regexp_extract_all("text", F.lit(PERSON), F.lit(0))).alias("m"))
-        said = said.select("h", F.concat(sex, F.lit(":"), F.regexp_replace("m", r"^\p{L}+\.?\h", "")).alias("name")).distinct()
-        again = said.join(attempts, "name").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("again"))
-        rows = rows.join(again, F.sha2("text", 256) == F.col("h"), "left").drop("h")
+        # Texts that mention something re-keyed get its attempt through a join, whatever their number.
+        mine = found.select("h", "kind", "original").distinct().join(again, ["kind", "original"])
+        mine = mine.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "original").alias("k"), "attempt"))).alias("again"))
+        rows = rows.join(staged(mine, "again"), F.sha2(F.col("text").cast("binary"), 256) == F.col("h"), "left").drop("h")
+    discard(found)
 
     def run(batches):
         s = Surrogates(key)
         for batch in batches:
-            look = batch.column("look").to_pylist()
             texts, n, kinds = batch.column("text"), [0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
             changed = {}
-            for i, due in enumerate(look):
-                if due:
-                    again = batch.column("again")[i].as_py()
-                    text, found = replace(texts[i].as_py(), s, dict(again) if again else None)
-                    if found:
-                        changed[i], n[i] = text, len(found)
-                        kinds[i] = [(k, sum(e.kind == k for e in found)) for k in KINDS if any(e.kind == k for e in found)]
+            for i in _due(texts):
+                again = batch.column("again")[i].as_py()
+                text, ents = replace(texts[i].as_py(), s, dict(again) if again else None)
+                if ents:
+                    changed[i], n[i] = text, len(ents)
+                    kinds[i] = [(k, sum(e.kind == k for e in ents)) for k in KINDS if any(e.kind == k for e in ents)]
             if changed:
-                texts = texts.to_pylist()
-                for i, t in changed.items():
-                    texts[i] = t
-                texts = pa.array(texts, pa.string())
+                at = [0, *(j for i in sorted(changed) for j in (i, i + 1)), batch.num_rows]
+                parts = [pa.array([changed[a]], pa.string()) if a in changed else texts.slice(a, b - a) for a, b in pairwise(at) if a < b]
+                texts = pa.concat_arrays([p.cast(pa.string()) for p in parts])
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int32())), texts], names=["doc_id", "n_entities", "kinds", "text"])
 
     return rows.mapInArrow(run, "doc_id long, n_entities int, kinds map<string,int>, text string")

@@ -6,15 +6,18 @@ survives the loss of any executor. Nothing here writes to a machine-local folder
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Folders made for sessions whose setting is unset, by application.
 _own: dict[str, str] = {}
+#: Scratch folders of the applications that this process has driven; they go when it ends.
+_used: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,22 +32,39 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
+    _used.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
+    """Write ``df`` once to the shared folder and return a scan of it; ``discard`` deletes it again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more. Those that a result still reads go with the process."""
+    for table in tables:
+        _delete(table.sparkSession.sparkContext, table.staged_at)
+
 
+def _delete(context: SparkContext, path: str) -> None:
+    """Through the file system that holds it."""
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration() if context._jsc is None else context._jsc.hadoopConfiguration()).delete(target, True)
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+@atexit.register
+def _leave_nothing() -> None:
+    context = SparkContext._active_spark_context
+    for folder in _used if context is not None else ():
+        with suppress(Exception):  # the cluster may be gone before this process
+            _delete(context, folder)
 
 
 #: Rows that a small table will not match are kept out of a join's shuffle by a Bloom filter on its keys, at any size.
@@ -66,13 +86,3 @@ def settings(spark: SparkSession, values: dict[str, str]):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python by the thousand instead of by ten thousand, unless the session says otherwise.
-
-    A batch's bytes are those of its texts, so this bounds what a worker holds.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(rows))

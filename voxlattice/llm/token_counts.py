@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlattice.llm.scratch import small_arrow_batches
 
 RULES = ("start", "majority", "split")
 SCHEMA = "doc_id long, section int, start_char long, end_char long, tokens double, crossing_tokens long, doc_tokens long"
@@ -83,7 +82,6 @@ def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: s
     """``doc_id, section, start_char, end_char, tokens, crossing_tokens, doc_tokens``: a row per section."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(batches):
