@@ -51,22 +51,24 @@ def test_drop_exact_duplicates(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [0, 50, 100_000])
+def test_components(spark, finish):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (5000, 4000)]
     df = spark.createDataFrame([*edges, (None, 1), (2, None)], "a long, b long")
-    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(df, finish_edges=finish).collect()}
     assert got == components({x for e in edges for x in e}, edges)
     assert connected_components(df.limit(0)).count() == 0
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("finish", [200, 100_000])
+def test_components_of_long_chains(spark, finish):
     """Ascending ids, each linked to its predecessors only: names go by a share per round, not one by one."""
     n = 4000
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(n)] + [(i, i - rng.randint(1, 5)) for i in range(2 * n, 3 * n)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(df, finish_edges=finish).collect()}
     assert got == components({x for e in edges for x in e}, edges)
 
 
@@ -133,6 +135,37 @@ def test_jaccard_join(spark, seed):
     assert _check_join(spark, rows)
     # Blocks of two documents give the same links.
     assert _check_join(spark, rows, block_rows=2)
+    # Nodes of more than two documents keep long prefixes, or go back to short ones.
+    assert _check_join(spark, rows, block_rows=2, node_rows=2)
+
+
+def _templates(n=500):
+    """Texts that share a third of their words with all others, some near copies, and one family of near copies."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    common = " ".join(word() for _ in range(60))
+    rows = [f"{common} {' '.join(word() for _ in range(100))}" for _ in range(n)]
+    rows += [r + " " + word() for r in rows[:20]]
+    family = [word() for _ in range(200)]
+    return rows + [" ".join(family[:k] + [word()] + family[k:]) for k in range(0, 200, 2)]
+
+
+def test_common_passages_lengthen_prefixes(spark):
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(_templates())]
+    assert len(_check_join(spark, rows, node_rows=16, block_rows=64)) > 20 + 4000
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("same", ngram_join._text_key(F.col("text")))
+    signed = ngram_join._sign(docs.select("doc_id", "same", "text"), 24).withColumnRenamed("doc_id", "rep").select("rep", "nodes", "heads")
+    sizes = {}
+    for node_rows in (16, 10_000):
+        paths = ngram_join.matched_paths(signed, 0.8, 24, 0.9995, node_rows)
+        nodes = paths.select("rep", F.explode("nodes").alias("t", "node")).select("rep", "t", "node.*").collect()
+        counted = Counter(r["key"] for r in nodes)
+        assert all(counted[r["key"]] == r["n"] > 1 for r in nodes)
+        sizes[node_rows] = max((r["n"] for r in nodes if r["rep"] < 500), default=0)
+        # The family is alike all over: it goes back to the shortest prefixes, and only it.
+        back = {r["rep"] for r in nodes if r["t"] >= 24}
+        assert back <= set(range(520, 620)) and bool(back) == (node_rows == 16)
+    assert sizes[16] <= 16 < sizes[10_000], "templates meet in small nodes at longer prefixes"
 
 
 def test_jaccard_join_on_awkward_rows(spark):
@@ -143,11 +176,20 @@ def test_jaccard_join_on_awkward_rows(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({1: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, None: 2})
 
 
-def test_prefixes_shorten_until_the_recall_is_met():
-    assert ngram_join.prefix_length(0.8, 24, 8, 0.9999) == 5
-    assert ngram_join.prefix_length(0.99, 24, 8, 0.9999) == 8
-    with pytest.raises(ValueError):
-        ngram_join.prefix_length(0.1, 2, 8, 0.9999)
+def test_recall_of_the_lengths():
+    assert 1 - ngram_join.miss(0.8, [5] * 24) > 0.9999 > 1 - ngram_join.miss(0.8, [5] * 20 + [8] * 4) > 0.9995
+    assert ngram_join.miss(1.0, [8]) == 0 and ngram_join.miss(0.5, [1, 1]) == 0.25
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text has its own links; the id's rows stay or go one by one."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    other = "completely different words that have nothing to do with any other text in this small table of rows"
+    rows = [(1, base, "en", "a", 1), (2, base + " x", "en", "a", 1), (2, other, "en", "a", 1), (3, other + " y", "en", "a", 1), (3, other + " y", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.jaccard_join(docs).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in ngram_join.drop_near_duplicates(docs).collect()) == [(1, base), (2, other)]
 
 
 def test_shingle_sets():
@@ -201,8 +243,8 @@ def test_scratch_folder(spark):
     assert scratch.shared_root(session("hdfs:///shared/")) == "hdfs:///shared"
     own = scratch.shared_root(session(None))
     assert own.startswith("file:///") and own == scratch.shared_root(session(None))
-    path = scratch.scratch_path(spark, "t")
-    spark.range(3).write.parquet(path)
-    scratch.discard(spark, path)
+    table = scratch.staged(spark.range(3), "t")
+    assert table.count() == 3
+    scratch.discard(table)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        spark.read.parquet(path)
+        spark.read.parquet(table.staged_at)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlattice.llm.scratch import staged
+from voxlattice.llm.groups import spanning_forest
+from voxlattice.llm.scratch import discard, staged
+
+#: So many edges, a few MB, are finished in one task instead of by further rounds.
+FINISH_EDGES = 100_000
 
 
 def _rank(name: str, turn: int) -> Column:
@@ -13,7 +19,18 @@ def _rank(name: str, turn: int) -> Column:
     return F.xxhash64(F.lit(turn), F.col(name))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _finish(batches):
+    """All remaining edges at once: every node and the root of its component."""
+    ends = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches if b.num_rows]
+    if ends:
+        nodes, place = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        place, root = place.reshape(2, -1), np.arange(len(nodes))
+        for child, top in spanning_forest(place[0], place[1], len(nodes)):
+            root[child] = top
+        yield pa.record_batch([pa.array(nodes), pa.array(nodes[root])], names=["u", "p"])
+
+
+def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
     """``edges(a, b)`` of ids -> ``(node, component)``, component being the smallest id of the node's component.
 
     Each round renames every node to the first of itself and its neighbours, in an order drawn anew by hash, and
@@ -21,13 +38,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     to leave at most two thirds of the names that have edges; the last one of every component always goes, so the
     rounds end by themselves. Names of a round are mapped to those of the last one backwards, from small tables to
     large ones, and the smallest id of each class is taken at the end. All steps are aggregates and equi-joins, so a
-    node with very many edges is pre-aggregated before the shuffle and split by AQE in the join. Nothing is collected.
+    node with very many edges is pre-aggregated before the shuffle and split by AQE in the join. Nothing is collected; the
+    last ``finish_edges`` edges are finished in one task.
     Self loops only name their node. An empty table gives an empty result; rows with a null end are ignored.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     live = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     steps = []
-    while not steps or not live.isEmpty():
+    while n_edges := live.count():
+        if n_edges <= finish_edges:
+            steps.append(staged(live.coalesce(1).mapInArrow(_finish, "u long, p long"), "names"))
+            break
         turn = len(steps)
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(live.select(F.col("b"), F.col("a")))
         first = both.groupBy("u").agg(F.min_by("v", _rank("v", turn)).alias("m"))
@@ -36,11 +57,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         left = step.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         right = step.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         moved = live.join(left, "a").join(right, "b").where("pa <> pb")
-        live = staged(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        before, live = live, staged(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(before)
+    discard(live)
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     names = steps.pop()
     while steps:
         later = names.select(F.col("u").alias("k"), F.col("p").alias("q"))
-        names = staged(steps.pop().join(later, F.col("p") == F.col("k"), "left").select("u", F.coalesce("q", "p").alias("p")), "components")
+        step, shorter = steps.pop(), names
+        names = staged(step.join(later, F.col("p") == F.col("k"), "left").select("u", F.coalesce("q", "p").alias("p")), "components")
+        discard(step, shorter)
     # The other side's key is an expression: both sides get an exchange of their own that AQE may split.
     least = names.groupBy("p").agg(F.min("u").alias("component")).select((F.col("p") + 0).alias("k"), "component")
-    return staged(names.join(least, F.col("p") + 0 == F.col("k")).select(F.col("u").alias("node"), "component"), "components")
+    out = staged(names.join(least, F.col("p") + 0 == F.col("k")).select(F.col("u").alias("node"), "component"), "components")
+    discard(names)
+    return out

@@ -47,6 +47,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple:
+    """``docs`` with its columns named c0, c1, ... and the new names of the given ones; ``toDF(*docs.columns)`` undoes it.
+
+    Whatever columns a table has, a dot in a name or a name twice, they do not meet those that an operator adds.
+    """
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    lower = [c.lower() for c in docs.columns]
+    return docs.toDF(*plain), *(plain[docs.columns.index(n) if n in docs.columns else lower.index(n.lower())] for n in names)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more. Those that a result still reads go with the process."""
     for table in tables:
