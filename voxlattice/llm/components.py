@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlattice.llm.groups import spanning_forest
-from voxlattice.llm.scratch import discard, staged
+from voxlattice.llm.scratch import discard, staged, veiled
 
 #: So many edges, a few MB, are finished in one task instead of by further rounds.
 FINISH_EDGES = 100_000
@@ -68,8 +68,7 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES) ->
         step, shorter = steps.pop(), names
         names = staged(step.join(later, F.col("p") == F.col("k"), "left").select("u", F.coalesce("q", "p").alias("p")), "components")
         discard(step, shorter)
-    # The other side's key is an expression: both sides get an exchange of their own that AQE may split.
-    least = names.groupBy("p").agg(F.min("u").alias("component")).select((F.col("p") + 0).alias("k"), "component")
-    out = staged(names.join(least, F.col("p") + 0 == F.col("k")).select(F.col("u").alias("node"), "component"), "components")
+    least = names.groupBy("p").agg(F.min("u").alias("component")).select(veiled(F.col("p")).alias("k"), "component")
+    out = staged(names.join(least, veiled(F.col("p")) == F.col("k")).select(F.col("u").alias("node"), "component"), "components")
     discard(names)
     return out

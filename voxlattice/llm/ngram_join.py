@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from voxlattice.llm.components import connected_components
 from voxlattice.llm.groups import map_groups, spanning_forest
 from voxlattice.llm.packing import slices
-from voxlattice.llm.scratch import BLOOM_JOIN, discard, numbered, settings, staged
+from voxlattice.llm.scratch import BLOOM_JOIN, discard, numbered, settings, staged, veiled
 
 SHINGLE_WORDS = 5
 #: Steps of the shortest and of the longest prefixes that are matched.
@@ -215,8 +215,7 @@ def _sign(rows: DataFrame, trees: int) -> DataFrame:
 def _nodes(rows: DataFrame) -> DataFrame:
     """The rows of ``rows(key, ...)`` whose key others have too, with the number ``n`` of them."""
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # The other side's key is an expression: both sides get an exchange of their own that AQE may split.
-    return rows.join(counts.select((F.col("key") + 0).alias("k"), "n"), F.col("key") + 0 == F.col("k")).drop("k")
+    return rows.join(counts.select(veiled(F.col("key")).alias("k"), "n"), veiled(F.col("key")) == F.col("k")).drop("k")
 
 
 def matched_paths(distinct: DataFrame, threshold: float, trees: int, target_recall: float, node_rows: int) -> DataFrame:
@@ -229,13 +228,16 @@ def matched_paths(distinct: DataFrame, threshold: float, trees: int, target_reca
     further = LONGEST - SHORTEST
     # The steps that lengthen the path in trie t are the first ones of the tries after it.
     longer = F.expr(f"transform(sequence(1, {further}), d -> heads[(t + d) % {trees}])")
-    steps = distinct.select("rep", "heads", F.posexplode("nodes").alias("t", "key"))
+    steps = distinct.select("rep", F.posexplode("nodes").alias("t", "key"))
     with settings(spark, BLOOM_JOIN):
-        met = staged(_nodes(steps).select("rep", "t", "key", "n", F.when(F.col("n") > node_rows, longer).alias("longer")), "met")
+        met = staged(_nodes(steps).select("rep", "t", "key", "n"), "met")
     fits = met.where(F.col("n") <= node_rows).select("rep", "t", "key", "n")
-    large = level = met.where(F.col("n") > node_rows).select("rep", "t", "key", "longer")
+    large = met.where(F.col("n") > node_rows)
     held = [met]
     if not large.isEmpty():
+        heads = distinct.select(veiled(F.col("rep")).alias("r"), "heads")
+        large = level = staged(large.join(heads, veiled(F.col("rep")) == F.col("r")).select("rep", "t", "key", longer.alias("longer")), "large")
+        held.append(large)
         lengths = None
         for d in range(further):
             down = level.select("rep", "t", F.xxhash64("key", F.col("longer")[d]).alias("key"), "longer")
@@ -317,13 +319,14 @@ def _links(docs: DataFrame, distinct: DataFrame, paths: DataFrame, texts: DataFr
     needed = staged(map_groups(looked.select("gid", "key", "t", "rep", "size", "path", "low", "high"), "gid", need, "key long, t int, rep long").distinct(), "needed")
 
     extent = needed.join(distinct.select("rep", "size"), "rep").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("words"))
-    extent = extent.select(F.col("key").alias("e"), "m", "words")
-    brought = needed.join(extent, F.col("key") + 0 == F.col("e")).join(paths.select(F.col("rep").alias("r"), "path"), F.col("rep") == F.col("r"))
+    extent = extent.select(veiled(F.col("key")).alias("e"), "m", "words")
+    brought = needed.join(extent, veiled(F.col("key")) == F.col("e")).join(paths.select(F.col("rep").alias("r"), "path"), F.col("rep") == F.col("r"))
     # Blocks hold at most ``block_rows`` texts and about ``block_words`` shingles.
     brought = _blocks(brought.drop("r"), F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("words") / block_words)))
     # Texts come back for those needed only; a Bloom filter on their ids keeps the others out of the shuffle.
-    reps = needed.select("rep").distinct().join(distinct.select("rep", "rep0", "same"), "rep")
-    back = texts.join(reps, (F.col("doc_id") == F.col("rep0")) & (F.col("body") == F.col("same"))).select(F.col("rep").alias("i"), "text").dropDuplicates(["i"])
+    reps = staged(needed.select("rep").distinct().join(distinct.select("rep", "rep0", "same"), "rep"), "reps")
+    wanted = reps.where("same > ''")  # a filter, without which Spark makes no Bloom filter
+    back = texts.join(wanted, (F.col("doc_id") == F.col("rep0")) & (F.col("body") == F.col("same"))).select(F.col("rep").alias("i"), "text").dropDuplicates(["i"])
     with settings(spark, BLOOM_JOIN):
         back = staged(back, "texts")
     brought = brought.join(back, F.col("rep") == F.col("i")).select("gid", "t", "rep", "path", "low", "high", "text")
@@ -347,7 +350,7 @@ def _links(docs: DataFrame, distinct: DataFrame, paths: DataFrame, texts: DataFr
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b", "links"])
 
     found = staged(map_groups(brought, "gid", verify, "a long, b long, links long"), "links")
-    discard(needed, back)
+    discard(needed, back, reps)
     return found
 
 
@@ -368,7 +371,7 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, tree
     parts = connected_components(found.where("b is not null"))
     # The smallest id of a component, which is its name where ids and texts go together.
     least = parts.join(distinct.select("rep", "rep0"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("rep0").alias("class"))
-    parts = parts.join(least.select((F.col("component") + 0).alias("c"), "class"), F.col("component") + 0 == F.col("c")).select("node", "class")
+    parts = parts.join(least.select(veiled(F.col("component")).alias("c"), "class"), veiled(F.col("component")) == F.col("c")).select("node", "class")
     of_text = (
         distinct.select("same", "rep", "rep0", "copies")
         .join(counts, F.col("rep") == F.col("a"), "left")

@@ -12,7 +12,8 @@ import uuid
 from contextlib import contextmanager, suppress
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders made for sessions whose setting is unset, by application.
 _own: dict[str, str] = {}
@@ -85,6 +86,15 @@ BLOOM_JOIN = {
 }
 
 
+def veiled(key: Column) -> Column:
+    """A whole-number join key behind an expression that the optimizer leaves alone.
+
+    With it on both sides each gets an exchange of its own, which AQE can split where one key has very many rows; the
+    exchange of an aggregate below the join would be used instead, and cannot be split.
+    """
+    return key.bitwiseXOR(F.lit(1))
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for what runs (not only: is planned) inside the block."""
