@@ -35,12 +35,50 @@ def test_full_bytes_decide_when_digests_collide(spark):
     assert rows(exact_dedup.exact_dedup(docs, digest=weak)) == rows(exact_dedup.exact_dedup(docs))
 
 
-def test_state_lasts_over_batches(spark):
-    state = exact_dedup.KeyedState(spark)
-    first = exact_dedup.exact_dedup(documents(spark, [(1, "a", "", "", 1), (2, "b", "", "", 1)]), state=state)
-    assert {r["group_size"] for r in first.collect()} == {1}
-    exact_dedup.exact_dedup(documents(spark, [(3, "a", "", "", 1)]), state=state)
-    assert {(r["n"], r["keeper_id"]) for r in state.table().collect()} == {(2, 3), (1, 2)}
+def _batches_by_hand(batches):
+    """For each batch, what its rows are among all rows so far."""
+    seen, out = [], []
+    for rows in batches:
+        seen += rows
+        want = []
+        for i, t in rows:
+            same = [j for j, u in seen if u == t]
+            want.append((i, max(same), len(same), i == max(same), hashlib.sha256(t.encode()).hexdigest()))
+        out.append(sorted(want))
+    return out
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_state_lasts_over_batches(spark, tmp_path, weak):
+    """Also where one digest stands for many texts, of which the keepers came in earlier batches."""
+    batches = [[(1, "a"), (2, "a"), (3, "b")], [(11, "a"), (12, "c"), (13, "b"), (5, "zzz")], [(20, "zzz"), (4, "c"), (21, "d")]]
+    state = exact_dedup.KeyedState(spark, f"file://{tmp_path}/state")
+    kw = {"digest": lambda t: F.lit("x")} if weak else {}
+    for k, (rows, want) in enumerate(zip(batches, _batches_by_hand(batches), strict=True)):
+        docs = documents(spark, [(i, t, "en", "a", 1) for i, t in rows])
+        for _ in range(2):  # a repeated call changes nothing
+            got = exact_dedup.exact_dedup(docs, state=state, batch=f"b{k}", **kw).collect()
+            assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+
+
+def test_batch_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    docs = documents(spark, [(1, "a", "", "", 1), (2, "a", "", "", 1), (3, "b", "", "", 1)])
+    state = exact_dedup.KeyedState(spark, f"file://{tmp_path}/state")
+
+    def lost(*_):
+        raise RuntimeError("between the log and the stream")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(exact_dedup, "settings", lost)
+        exact_dedup.exact_dedup(docs, state=state, batch="one")
+    assert (tmp_path / "state" / "log" / "one" / "_SUCCESS").exists()
+    got = exact_dedup.exact_dedup(docs, state=state, batch="one").collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    # A batch that was lost while it was written is written anew.
+    (tmp_path / "state" / "content" / "two").mkdir()
+    (tmp_path / "state" / "content" / "two" / "part-0.parquet").write_bytes(b"cut")
+    got = exact_dedup.exact_dedup(documents(spark, [(9, "b", "", "", 1)]), state=state, batch="two").collect()
+    assert [(r["keep_id"], r["group_size"]) for r in got] == [(9, 2)]
 
 
 def test_drop_exact_duplicates(spark):

@@ -64,10 +64,15 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession.sparkContext, table.staged_at)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def _delete(context: SparkContext, path: str) -> None:
     """Through the file system that holds it."""
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration() if context._jsc is None else context._jsc.hadoopConfiguration()).delete(target, True)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
