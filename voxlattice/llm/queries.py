@@ -35,7 +35,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sampled_sizes(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "whole", "part")
+    return mixing.sampled_sizes(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "whole")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
