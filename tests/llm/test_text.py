@@ -333,6 +333,52 @@ def test_short_leads_and_tails_beside_chrome():
     assert html_extract.main_text(page, weights) == f"A short title\none link\ntwo words\n{long}"
 
 
+SITE = '<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy it now</div>{}<footer>old words</footer></body></html>'
+STORY = "<article><h1>Head line</h1><p>" + " ".join(["word"] * 80) + "</p><p>end of it</p></article>"
+TOLD = "Head line\n" + " ".join(["word"] * 80) + "\nend of it"
+
+
+def _site_weights():
+    pages = [SITE.format(STORY.replace("word", f"w{i}")) for i in range(20)]
+    return html_extract.learn([(p, *html_extract.own_region(p)) for p in pages])
+
+
+@pytest.mark.parametrize("names", ["site has-sidebar", "layout no-header", "search-results", "post social-science", "sidebar", "comments", "ad", "content", "menu page"])
+def test_names_do_not_hide_a_page(names):
+    w, inner = _site_weights(), STORY[9:-10]
+    wrap = f'<div class="{names}">{{}}</div>'
+    for page in (SITE.format(wrap.format(STORY)), SITE.format(f"<article>{wrap.format(inner)}</article>"), wrap.format(SITE.format(STORY)), SITE.format(wrap.format(inner))):
+        assert html_extract.main_text(page, w) == TOLD
+    discussed = STORY.replace("<p>end", '<section class="discussion"><p>end').replace("</article>", "</section></article>")
+    assert html_extract.main_text(SITE.format(discussed), w) == TOLD
+
+
+def test_the_scan_decides():
+    """What has no telling name, or any name, is left outside by its score; what is inside is left out by clear evidence only."""
+    w = _site_weights()
+    links = "<div><ul>" + "".join(f'<li><a href="/{i}">See page number {i}</a></li>' for i in range(12)) + "</ul></div>"
+    page = SITE.format(f"{links}<div>{STORY[9:-10]}</div>{links}")
+    assert html_extract.main_text(page, w) == TOLD
+    chrome = w.chrome(html_extract.read(page))
+    kept = [x.text for x in html_extract.read(page).items if not x.tag and (x.element < 0 or not chrome[x.element])]
+    assert any("See page number" in t for t in kept), "more than the region is no chrome"
+    inside = '<div class="ad">Buy it now</div><div class="comment-list"><p>first comment</p></div><aside>beside</aside><div class="box">in a box</div>'
+    assert html_extract.main_text(SITE.format(STORY.replace("<p>end", inside + "<p>end")), w) == TOLD.replace("\nend", "\nin a box\nend")
+    # Names that training saw mostly in the content, or mostly outside, whatever they say.
+    pages = [SITE.format(f'<div class="zzz">{" ".join(["out"] * 30)}</div>' + STORY.replace("<p>end", f'<div class="banner"><p>{" ".join(["good"] * 30)}</p></div><p>end')) for _ in range(5)]
+    w = html_extract.learn([(p, *html_extract.own_region(p)) for p in pages])
+    assert w.names["zzz"] < -html_extract.CLEAR and w.names["banner"] > html_extract.CLEAR
+    got = html_extract.main_text(SITE.format(STORY.replace("<p>end", '<div class="zzz">not this</div><div class="banner"><p>but this</p></div><p>end')), w)
+    assert got == TOLD.replace("\nend", "\nbut this\nend")
+
+
+def test_long_pages_are_read_whole(spark):
+    long = SITE.format(STORY.replace("end of it", LONG))
+    rows = [(i, "u", SITE.format(STORY.replace("word", f"w{i}"))) for i in range(10)] + [(50, "u", long)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[50] == TOLD.replace("end of it", LONG)
+
+
 def test_best_region():
     assert html_extract.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
     assert html_extract.best_region([1, -1, 1]) == (0, 1) and html_extract.best_region([-1, 0]) == (0, 0) and html_extract.best_region([]) == (0, 0)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlattice.llm.packing import slices
+from voxlattice.llm.scratch import numbered
 
 #: Labelled documents of each language that training reads at most, and bytes of each.
 SAMPLE_PER_LANG = 400
@@ -256,16 +257,20 @@ def document_probabilities(model: BiGru, raw: np.ndarray, bounds: np.ndarray, ro
 
 
 def sample_labelled(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = SAMPLE_PER_LANG, n_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
-    """At most ``per_lang`` labelled documents of each language, smallest hashes first; the rows come to the driver."""
+    """At most ``per_lang`` different labelled texts of each language, smallest hashes first; their rows come to the driver.
+
+    Of a longer text a stretch of ``n_bytes`` is taken, from a place that its hash names: no opening stands for the whole.
+    """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Thin by hash before anything is ranked, so that no task sees a language whole.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    # Thin by hash before anything is ranked, so that no task sees a language whole; then copies go.
     keep = F.lit(False)
     for lang, n in counts.items():
         share = min(1.0, 2.0 * per_lang / n + 50 / n)
         keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
-    found = rows.where(keep).select("lang", "h", F.substring(F.col("text"), 1, n_bytes).alias("text")).collect()
+    begin = F.pmod(F.xxhash64(F.col("h")), F.greatest(F.length("text") - n_bytes + 1, F.lit(1))).cast("int") + 1
+    found = rows.where(keep).select("lang", "h", F.col("text").substr(begin, F.lit(n_bytes)).alias("text")).distinct().collect()
     texts, labels, taken = [], [], {}
     for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["text"])):
         if taken.setdefault(r["lang"], 0) < per_lang:
@@ -328,8 +333,14 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.3, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a score of ``least`` or more, with all columns."""
+    """The rows of ``docs`` whose language is determined with a score of ``least`` or more, with all columns.
+
+    Where no labelled row says what languages there are, all texts with a letter stay.
+    """
     model, names = fit(docs, text_col, lang_col, id_col), docs.columns
+    if not model.langs:
+        plain, text = numbered(docs, text_col)
+        return plain.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).toDF(*names)
     # Columns travel under names of their own, so that none can clash; the text travels once.
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     text = f"c{names.index(text_col)}"
