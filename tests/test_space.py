@@ -116,13 +116,26 @@ def test_block_joins_against_boxes(spark, seed):
     fa, fb = blocks(spark, a), blocks(spark, b)
     values = lambda df: sorted({r["value"] for r in df.collect()})
     hit = sorted(p[8] for p in a if any(meet(p, q) for q in b))
-    assert values(lookups.blocks_overlapping(fa, fb, 2)) == hit
-    assert values(lookups.blocks_remove_overlapping(fa, fb, 2)) == sorted(set(range(40)) - set(hit))
-    assert values(lookups.blocks_sharing_face(fa, fb, 2)) == sorted(p[8] for p in a if p[8] not in hit and any(touch(p, q) for q in b))
-    for r in lookups.blocks_clipped(fa, fb, 2).collect():
+    assert values(lookups.blocks_overlapping(fa, fb)) == hit
+    assert values(lookups.blocks_remove_overlapping(fa, fb)) == sorted(set(range(40)) - set(hit))
+    assert values(lookups.blocks_sharing_face(fa, fb)) == sorted(p[8] for p in a if p[8] not in hit and any(touch(p, q) for q in b))
+    for r in lookups.blocks_clipped(fa, fb).collect():
         assert any(meet(r, q) and all(q[2 * k] <= r[2 * k] for k in range(3)) for q in b)
 
 
+def test_lookups_of_far_zooms(spark):
+    """Whole axes and blocks of the world against cells of zoom 25: no block is cut into finer ones."""
+    fine = [(25, 5, 25, 2**24 + k, 25, 7, 0, 0, k) for k in range(50)] + [(25, 5, 25, 0, 25, 7, 0, 0, 50), (25, 5, 25, 2**25 - 1, 25, 9, 0, 0, 51)]
+    zones = [(0, 0, 1, 1, 25, 7, 0, 0, 0), (25, 5, 25, 2**25 - 1, 25, 7, 0, 0, 1)]
+    fa, fb = blocks(spark, fine), blocks(spark, zones)
+    values = lambda df: sorted(r["value"] for r in df.collect())
+    assert values(lookups.blocks_overlapping(fa, fb)) == list(range(50))
+    assert values(lookups.blocks_remove_overlapping(fa, fb)) == [50, 51]
+    assert [tuple(r)[:6] for r in lookups.blocks_clipped(fb.limit(1), fa.where("value = 3")).collect()] == [(25, 5, 25, 2**24 + 3, 25, 7)]
+    assert values(lookups.blocks_sharing_face(fa, fb)) == [50], "around the seam"
+    assert values(lookups.blocks_overlapping(fa, fb.limit(0))) == []
+
+
 def test_canonical_form(spark):
     cube = [(a, b, c, 5) for a in (0, 1) for b in (2, 3) for c in (6, 7)]
     got = [tuple(r) for r in canonicalize(frame(spark, cube, z=4), 2, 0).collect()]

@@ -141,6 +141,30 @@ def from_ranges(ranges: DataFrame) -> DataFrame:
     return df.select(*FLEX, *rest)
 
 
+def timed_intersection(a: Column, b: Column) -> Column:
+    """Two blocks with seconds, ``struct<fz, fi, xz, xi, yz, yi, t0, t1>``: what both cover, null if nothing."""
+    parts, meets = [], (a["t0"] < b["t1"]) & (b["t0"] < a["t1"])
+    for k in "fxy":
+        az, ai, bz, bi = a[f"{k}z"], a[f"{k}i"], b[f"{k}z"], b[f"{k}i"]
+        meets = meets & F.when(az <= bz, shift_right(bi, F.greatest(bz - az, F.lit(0))) == ai).otherwise(shift_right(ai, F.greatest(az - bz, F.lit(0))) == bi)
+        parts += [F.greatest(az, bz).alias(f"{k}z"), F.when(az >= bz, ai).otherwise(bi).alias(f"{k}i")]
+    return F.when(meets, F.struct(*parts, F.greatest(a["t0"], b["t0"]).alias("t0"), F.least(a["t1"], b["t1"]).alias("t1")))
+
+
+def timed_difference(a: Column, b: Column) -> Column:
+    """``array<struct<fz, fi, xz, xi, yz, yi, t0, t1>>``: disjoint pieces of block a that b does not cover.
+
+    What lies beside b in space keeps all of a's time; the common block keeps a's time before and after b's.
+    """
+    whole = lambda c: F.struct(*[c[f"{k}{p}"].cast("int").alias(f"{k}{p}") for k in "fxy" for p in "zi"], F.lit(0).alias("tz"), F.lit(0).cast("long").alias("ti"))
+    space = [f"{k}{p}" for k in "fxy" for p in "zi"]
+    piece = lambda c, t0, t1: F.struct(*[c[k].cast("int").alias(k) for k in space], t0.cast("long").alias("t0"), t1.cast("long").alias("t1"))
+    beside = F.transform(difference_column(whole(a), whole(b)), lambda c: piece(c, a["t0"], a["t1"]))
+    common = timed_intersection(a, b)
+    ends = F.filter(F.array(piece(common, a["t0"], common["t0"]), piece(common, common["t1"], a["t1"])), lambda c: c["t0"] < c["t1"])
+    return F.when(common.isNull(), F.array(piece(a, a["t0"], a["t1"]))).otherwise(F.concat(beside, ends))
+
+
 def difference_column(a: Column, b: Column) -> Column:
     """``array<struct<...FLEX>>``: ``difference`` of two blocks given as structs, native."""
     axes = ("f", "x", "y", "t")

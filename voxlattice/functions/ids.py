@@ -217,6 +217,70 @@ def relabel_time(i: Column, t: Column, to: Column | int) -> Column:
     return F.when((i == to) & (t * i % to == 0), made).otherwise(F.raise_error(F.lit("the span is not one interval of that length")).cast("struct<i:bigint,t:bigint>"))
 
 
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two non-negative whole numbers below 2**35: Euclid takes at most 52 steps."""
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1))).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(52)), start, step)["a"]
+
+
+def range_time_span(t0: Column, t1: Column) -> Column:
+    """``struct<i, t0, t1>``: the half-open seconds as closed indices of the largest interval that divides both ends."""
+    i = gcd(t0, t1 - t0)
+    ok = (t0 >= 0) & (t1 > t0) & (t1 <= WHOLE)
+    made = F.struct(i.alias("i"), (t0 / i).cast("long").alias("t0"), (t1 / i - 1).cast("long").alias("t1"))
+    return F.when(ok, made).otherwise(F.raise_error(F.lit("time out of range")).cast("struct<i:bigint,t0:bigint,t1:bigint>"))
+
+
+def with_time_span(t0: Column, t1: Column) -> Column:
+    """``struct<i, t>`` of half-open seconds that are exactly one interval, or an error."""
+    span = range_time_span(t0, t1)
+    made = F.struct(span["i"].alias("i"), span["t0"].alias("t"))
+    return F.when(span["t0"] == span["t1"], made).otherwise(F.raise_error(F.lit("the span is not one interval")).cast("struct<i:bigint,t:bigint>"))
+
+
+def checked_index(axis: str, z: Column, index: Column) -> Column:
+    """The index, or an error where the axis has no such index at that zoom."""
+    n = side(z)
+    low = -n if axis == "f" else F.lit(0).cast("long")
+    return F.when((index >= low) & (index < n), index.cast("int")).otherwise(F.raise_error(F.lit(f"{axis} out of range")).cast("int"))
+
+
+# Ranges of one axis, as Columns: closed indices lo..hi at zoom z --------------------------------------------------------
+
+
+def fine_range_column(lo: Column, hi: Column, z: Column, to: Column | int) -> Column:
+    """``struct<lo, hi>`` at a finer zoom; null where ``to`` is coarser."""
+    d = (F.lit(to) if isinstance(to, int) else to) - z
+    up = F.greatest(d, F.lit(0))
+    return F.when(d >= 0, F.struct(shift_left(lo.cast("long"), up).alias("lo"), (shift_left(hi.cast("long") + 1, up) - 1).alias("hi")))
+
+
+def edges_shift_column(axis: str, lo: Column, hi: Column, z: Column, down: int, up: int, to: Column | int) -> Column:
+    """``struct<lo, hi>``: widened by ``down`` and ``up`` cells, then coarsened to zoom ``to``.
+
+    x wraps and becomes the full axis when it meets itself; f and y are clamped.
+    """
+    to = F.lit(to) if isinstance(to, int) else to
+    a, b, n, d = lo.cast("long") - down, hi.cast("long") + up, side(z), z - to
+    pair = lambda p, q: F.struct(p.alias("lo"), q.alias("hi"))
+    if axis == "x":
+        width = F.pmod(hi.cast("long") - lo, n) + 1 + down + up
+        return F.when(width >= n, pair(F.lit(0).cast("long"), side(to) - 1)).otherwise(pair(shift_right(F.pmod(a, n), d), shift_right(F.pmod(b, n), d)))
+    low = -n if axis == "f" else F.lit(0).cast("long")
+    return pair(shift_right(F.greatest(a, low), d), shift_right(F.least(b, n - 1), d))
+
+
+def stretch_column(axis: str, z: Column, index: Column, by: int) -> Column:
+    """``array<bigint>``: indices of a cell grown by ``by`` cells to one side; x wraps, f and y end at their limits."""
+    i, n = index.cast("long"), side(z)
+    run = F.sequence(i, i + by) if by >= 0 else F.sequence(i + by, i)
+    if axis == "x":
+        return F.array_distinct(F.transform(run, lambda k: F.pmod(k, n)))
+    low = -n if axis == "f" else F.lit(0).cast("long")
+    return F.filter(run, lambda k: (k >= low) & (k < n))
+
+
 # Range and block arithmetic, for bounds that the driver plans with ----------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """Lookups: what of a table lies in, overlaps or touches a target.
 
-Targets are a few ranges given by the driver (literals, pushed to the scan) or a table of blocks. Tables of blocks are
-joined over coarse cells: both sides are dealt to the cells of a common zoom that they reach, joined on them, and
-the exact test and a distinct follow. x wraps everywhere.
+Targets are a few ranges given by the driver (literals, pushed to the scan) or a table of blocks. Tables of blocks of any
+zooms are joined on ancestors: for each pair of zooms that occurs, both sides' ancestors at the coarser of the two, axis by
+axis, are an equi-join key that only nested blocks share. x wraps everywhere.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxlattice.domain import WHOLE, check_index, check_zoom, limits
 from voxlattice.frame import AXES, FLEX, VoxelFrame, block_bounds
-from voxlattice.functions.ids import shift_left
+from voxlattice.functions.ids import shift_left, shift_right
 
 
 @dataclass(frozen=True)
@@ -84,26 +84,38 @@ def get(frame: VoxelFrame, target: Range) -> VoxelFrame:
 # Tables of blocks ------------------------------------------------------------------------------------------------------
 
 
-def _tiles(blocks: DataFrame, zoom: int, grow: int = 0) -> DataFrame:
-    """Deal blocks to the cells of a coarse zoom that they (grown by a finest cell per side) reach."""
-    df = block_bounds(blocks)
-    d, n = 30 - zoom, 1 << zoom
-    for a in AXES:
-        first, last = F.shiftright(F.col(f"{a}lo") - grow, d), F.shiftright(F.col(f"{a}hi") - 1 + grow, d)
-        run = F.sequence(first, last)
-        if a == "x":
-            run = F.array_distinct(F.transform(run, lambda v: F.pmod(v, F.lit(n).cast("long"))))
-        df = df.withColumn(f"{a}tile", F.explode(run))
-    return df
+def _zooms(blocks: DataFrame) -> list[tuple[int, int, int]]:
+    """The zoom triples that occur, at most ``(MAX_ZOOM + 1) ** 3`` and few in practice."""
+    return sorted(tuple(r) for r in blocks.select(*[f"{a}z" for a in AXES]).distinct().collect())
+
 
+def _keyed(blocks: DataFrame, others: list[tuple[int, int, int]], prefix: str, reach: bool) -> DataFrame:
+    """One row per block and zoom triple of the other side: on each axis the block's ancestor at the coarser of both zooms.
 
-def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    Two blocks whose ancestors agree are nested on every axis, so they meet; no block is ever cut into finer
+    ones, however coarse. With ``reach`` the neighbours at the block's own zoom count as well.
+    """
+    df = block_bounds(blocks)
+    triple = lambda t: F.struct(*[F.lit(z).alias(a) for a, z in zip(AXES, t, strict=True)])
+    df = df.withColumn("o", F.explode(F.array(*map(triple, others))) if others else F.explode(F.array().cast("array<struct<f:int,x:int,y:int>>")))
+    for a in AXES:
+        z, i = F.col(f"{a}z"), F.col(f"{a}i").cast("long")
+        up = z - F.least(z, F.col(f"o.{a}"))
+        if reach:
+            n = shift_left(F.lit(1).cast("long"), z)
+            near = [F.pmod(i + k, n) if a == "x" else i + k for k in (-1, 0, 1)]
+            df = df.withColumn(f"{a}key", F.explode(F.array_distinct(F.array(*[shift_right(k, up) for k in near]))))
+        else:
+            df = df.withColumn(f"{a}key", shift_right(i, up))
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _pairs(blocks: DataFrame, target: DataFrame, zoom: int, test, grow: int = 0) -> DataFrame:
-    left, right = _renamed(_tiles(blocks, zoom, grow), "l_"), _renamed(_tiles(target.select(*FLEX), zoom, grow), "r_")
-    on = [F.col(f"l_{a}tile") == F.col(f"r_{a}tile") for a in AXES]
+def _pairs(blocks: DataFrame, target: DataFrame, test, reach: bool = False) -> DataFrame:
+    """Pairs of an equi-join on ancestors that pass ``test``; with ``reach`` a pair may occur several times."""
+    target = target.select(*FLEX)
+    left, right = _keyed(blocks, _zooms(target), "l_", reach), _keyed(target, _zooms(blocks), "r_", False)
+    on = [F.col(f"l_{a}key") == F.col(f"r_{a}key") for a in AXES]
+    on += [F.col(f"l_{a}z") == F.col(f"r_o.{a}") for a in AXES] + [F.col(f"l_o.{a}") == F.col(f"r_{a}z") for a in AXES]
     return left.join(right, [*on, test])
 
 
@@ -115,15 +127,15 @@ def _overlap() -> Column:
     return _axis_overlap("f") & _axis_overlap("x") & _axis_overlap("y") & _axis_overlap("t")
 
 
-def blocks_overlapping(blocks: DataFrame, target: DataFrame, zoom: int = 8) -> DataFrame:
+def blocks_overlapping(blocks: DataFrame, target: DataFrame) -> DataFrame:
     """Whole blocks that overlap any target block, once each."""
-    hit = _pairs(blocks, target, zoom, _overlap())
+    hit = _pairs(blocks, target, _overlap())
     return hit.select(*[F.col("l_" + c).alias(c) for c in blocks.columns]).distinct()
 
 
-def blocks_clipped(blocks: DataFrame, target: DataFrame, zoom: int = 8) -> DataFrame:
+def blocks_clipped(blocks: DataFrame, target: DataFrame) -> DataFrame:
     """Overlapping blocks cut to the target blocks: along each axis the deeper of two nested segments."""
-    hit = _pairs(blocks, target, zoom, _overlap())
+    hit = _pairs(blocks, target, _overlap())
     cols = []
     for a in ("f", "x", "y", "t"):
         deeper = F.col(f"l_{a}z") >= F.col(f"r_{a}z")
@@ -132,9 +144,9 @@ def blocks_clipped(blocks: DataFrame, target: DataFrame, zoom: int = 8) -> DataF
     return hit.select(*cols, *rest).distinct()
 
 
-def blocks_remove_overlapping(blocks: DataFrame, target: DataFrame, zoom: int = 8) -> DataFrame:
+def blocks_remove_overlapping(blocks: DataFrame, target: DataFrame) -> DataFrame:
     """Blocks that no target block overlaps."""
-    return blocks.join(blocks_overlapping(blocks.select(*FLEX), target, zoom), list(FLEX), "left_anti")
+    return blocks.join(blocks_overlapping(blocks.select(*FLEX), target), list(FLEX), "left_anti")
 
 
 def _touch(a: str) -> Column:
@@ -155,11 +167,11 @@ def shares_face() -> Column:
     return out & _axis_overlap("t")
 
 
-def blocks_sharing_face(blocks: DataFrame, target: DataFrame, zoom: int = 8) -> DataFrame:
+def blocks_sharing_face(blocks: DataFrame, target: DataFrame) -> DataFrame:
     """Blocks that touch a target block by a face and overlap none."""
-    near = _pairs(blocks, target, zoom, shares_face(), grow=1)
+    near = _pairs(blocks, target, shares_face(), reach=True)
     near = near.select(*[F.col("l_" + c).alias(c) for c in blocks.columns]).distinct()
-    return blocks_remove_overlapping(near, target, zoom)
+    return blocks_remove_overlapping(near, target)
 
 
 # Reads over a whole frame ----------------------------------------------------------------------------------------------

@@ -100,7 +100,10 @@ class Average(MergePolicy):
     def aggregate(self, value, order, kind):
         if kind not in _BOUNDS:
             return F.avg(value)
-        return truncated_division(F.sum(value.cast("long")), F.count(value)).cast(kind)
+        if kind != "bigint":
+            return truncated_division(F.sum(value.cast("long")), F.count(value)).cast(kind)
+        total, n = F.sum(value.cast("decimal(19,0)")), F.count(value)  # wide: sums of 64 bits may leave them
+        return ((total - total % n) / n).cast(kind)
 
 
 class Difference(MergePolicy):

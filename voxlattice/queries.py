@@ -178,12 +178,12 @@ def _target_blocks(s, d) -> DataFrame:
 
 _T15 = "(SELECT DISTINCT f >> 1 AS tf, x >> 1 AS tx, y >> 1 AS ty FROM cells_li WHERE value = 50) t"
 _BLOCK = "16 AS fz, f AS fi, 16 AS xz, x AS xi, 16 AS yz, y AS yi, 0 AS tz, CAST(0 AS BIGINT) AS ti, value"
-_register("blocks_overlapping", lambda s, d: lookups.blocks_overlapping(to_blocks(cells_li(s, d)), _target_blocks(s, d), 13), f"SELECT {_BLOCK} FROM cells_li SEMI JOIN {_T15} ON f >> 1 = tf AND x >> 1 = tx AND y >> 1 = ty")
-_register("blocks_remove_overlapping", lambda s, d: lookups.blocks_remove_overlapping(to_blocks(cells_li(s, d)), _target_blocks(s, d), 13), f"SELECT {_BLOCK} FROM cells_li ANTI JOIN {_T15} ON f >> 1 = tf AND x >> 1 = tx AND y >> 1 = ty")
-_register("blocks_clipped", lambda s, d: lookups.blocks_clipped(_target_blocks(s, d).withColumn("value", F.lit(1)), to_blocks(cells_li(s, d)), 13), f"SELECT 16 AS fz, f AS fi, 16 AS xz, x AS xi, 16 AS yz, y AS yi, 0 AS tz, CAST(0 AS BIGINT) AS ti, 1 AS value FROM cells_li SEMI JOIN {_T15} ON f >> 1 = tf AND x >> 1 = tx AND y >> 1 = ty")
+_register("blocks_overlapping", lambda s, d: lookups.blocks_overlapping(to_blocks(cells_li(s, d)), _target_blocks(s, d)), f"SELECT {_BLOCK} FROM cells_li SEMI JOIN {_T15} ON f >> 1 = tf AND x >> 1 = tx AND y >> 1 = ty")
+_register("blocks_remove_overlapping", lambda s, d: lookups.blocks_remove_overlapping(to_blocks(cells_li(s, d)), _target_blocks(s, d)), f"SELECT {_BLOCK} FROM cells_li ANTI JOIN {_T15} ON f >> 1 = tf AND x >> 1 = tx AND y >> 1 = ty")
+_register("blocks_clipped", lambda s, d: lookups.blocks_clipped(_target_blocks(s, d).withColumn("value", F.lit(1)), to_blocks(cells_li(s, d))), f"SELECT 16 AS fz, f AS fi, 16 AS xz, x AS xi, 16 AS yz, y AS yi, 0 AS tz, CAST(0 AS BIGINT) AS ti, 1 AS value FROM cells_li SEMI JOIN {_T15} ON f >> 1 = tf AND x >> 1 = tx AND y >> 1 = ty")
 _register(
     "neighbors_face",
-    lambda s, d: lookups.blocks_sharing_face(to_blocks(cells_li(s, d)), to_blocks(cells_li(s, d).over(cells_li(s, d).df.where("value = 50"))), 13),
+    lambda s, d: lookups.blocks_sharing_face(to_blocks(cells_li(s, d)), to_blocks(cells_li(s, d).over(cells_li(s, d).df.where("value = 50")))),
     f"""SELECT {_BLOCK} FROM cells_li c WHERE value <> 50 AND EXISTS (SELECT 1 FROM cells_li t WHERE t.value = 50 AND
         ((t.f = c.f AND t.y = c.y AND (t.x = (c.x + 1) % 65536 OR c.x = (t.x + 1) % 65536)) OR
          (t.f = c.f AND t.x = c.x AND abs(t.y - c.y) = 1) OR (t.x = c.x AND t.y = c.y AND abs(t.f - c.f) = 1)))""",
@@ -213,18 +213,18 @@ def _cells(s, d) -> DataFrame:
 
 
 _register("parents", lambda s, d: _cells(s, d).select(F.col("value"), F.explode(ids.parents(*_cell())).alias("c")).select("value", "c.*"), "SELECT value, CAST(k AS INT) z, CAST(f >> CAST(16 - k AS INT) AS INT) f, CAST(x >> CAST(16 - k AS INT) AS INT) x, CAST(y >> CAST(16 - k AS INT) AS INT) y FROM cells_li , range(0, 16) r(k)")
-_register("children", lambda s, d: _cells(s, d).where("value = 50").select(F.explode(ids.children(*_cell(), 17)).alias("c")).select("c.*"), "SELECT 17 z, CAST(f * 2 + a AS INT) f, CAST(x * 2 + b AS INT) x, CAST(y * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c) WHERE value = 50")
-_register("siblings", lambda s, d: _cells(s, d).where("value = 50").select(F.explode(ids.siblings(*_cell())).alias("c")).select("c.*"), "SELECT 16 z, CAST((f >> 1) * 2 + a AS INT) f, CAST((x >> 1) * 2 + b AS INT) x, CAST((y >> 1) * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c) WHERE value = 50 AND NOT ((f >> 1) * 2 + a = f AND (x >> 1) * 2 + b = x AND (y >> 1) * 2 + c = y)")
+_register("children", lambda s, d: _cells(s, d).select(F.explode(ids.children(*_cell(), 17)).alias("c")).select("c.*"), "SELECT 17 z, CAST(f * 2 + a AS INT) f, CAST(x * 2 + b AS INT) x, CAST(y * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c)")
+_register("siblings", lambda s, d: _cells(s, d).select(F.explode(ids.siblings(*_cell())).alias("c")).select("c.*"), "SELECT 16 z, CAST((f >> 1) * 2 + a AS INT) f, CAST((x >> 1) * 2 + b AS INT) x, CAST((y >> 1) * 2 + c AS INT) y FROM cells_li , range(0, 2) p(a), range(0, 2) q(b), range(0, 2) r(c) WHERE NOT ((f >> 1) * 2 + a = f AND (x >> 1) * 2 + b = x AND (y >> 1) * 2 + c = y)")
 
 
 def _neighbours_sql(kinds: str) -> str:
-    return f"SELECT 16 z, CAST(f + a AS INT) f, CAST(((x + b) % 65536 + 65536) % 65536 AS INT) x, CAST(y + c AS INT) y FROM cells_li , range(-1, 2) p(a), range(-1, 2) q(b), range(-1, 2) r(c) WHERE value = 50 AND abs(a) + abs(b) + abs(c) IN ({kinds}) AND y + c BETWEEN 0 AND 65535"
+    return f"SELECT 16 z, CAST(f + a AS INT) f, CAST(((x + b) % 65536 + 65536) % 65536 AS INT) x, CAST(y + c AS INT) y FROM cells_li , range(-1, 2) p(a), range(-1, 2) q(b), range(-1, 2) r(c) WHERE abs(a) + abs(b) + abs(c) IN ({kinds}) AND y + c BETWEEN 0 AND 65535"
 
 
 for _kind, _sums in (("face", "1"), ("edge", "2"), ("vertex", "3"), ("all", "1, 2, 3")):
     _register(
         f"neighbors_{_kind}" if _kind != "face" else "neighbors_of_cells",
-        lambda s, d, k=_kind: _cells(s, d).where("value = 50").select(F.explode(ids.neighbours(*_cell(), k)).alias("c")).select("c.*"),
+        lambda s, d, k=_kind: _cells(s, d).select(F.explode(ids.neighbours(*_cell(), k)).alias("c")).select("c.*"),
         _neighbours_sql(_sums),
     )
 _register("move_cells", lambda s, d: _cells(s, d).select("z", ids.moved("f", F.col("z"), F.col("f"), 3).alias("f"), ids.moved("x", F.col("z"), F.col("x"), -20).alias("x"), ids.moved("y", F.col("z"), F.col("y"), 9).alias("y"), "value"), "SELECT 16 z, CAST(f + 3 AS INT) f, CAST(((x - 20) % 65536 + 65536) % 65536 AS INT) x, CAST(y + 9 AS INT) y, value FROM cells_li")
@@ -241,11 +241,46 @@ _register(
     lambda s, d: _cells(s, d).select(ids.morton(*_cell()).alias("k")).groupBy(F.expr("shiftright(k, 54)").alias("top")).agg(F.count(F.lit(1)).alias("n")),
     "SELECT CAST(((f + 65536) >> 16 & 1) * 32 + (x >> 15 & 1) * 16 + (y >> 15 & 1) * 8 + ((f + 65536) >> 15 & 1) * 4 + (x >> 14 & 1) * 2 + (y >> 14 & 1) AS BIGINT) AS top, count(*) n FROM cells_li GROUP BY 1",
 )
-_register("range_blocks", lambda s, d: flex.from_ranges(_cells(s, d).where("value = 50").select("z", F.col("f").alias("f0"), F.col("f").alias("f1"), F.col("x").alias("x0"), (F.col("x") + 4).alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))).groupBy(F.col("fi").alias("f"), F.col("yi").alias("y")).agg(F.sum(F.pow(F.lit(2.0), 16 - F.col("xz"))).cast("bigint").alias("cells")), "SELECT f, y, CAST(5 * count(*) AS BIGINT) AS cells FROM cells_li WHERE value = 50 GROUP BY f, y")
+_register("range_blocks", lambda s, d: flex.from_ranges(_cells(s, d).select("z", F.col("f").alias("f0"), F.col("f").alias("f1"), F.col("x").alias("x0"), (F.col("x") + 4).alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))).groupBy(F.col("fi").alias("f"), F.col("yi").alias("y")).agg(F.sum(F.pow(F.lit(2.0), 16 - F.col("xz"))).cast("bigint").alias("cells")), "SELECT f, y, CAST(5 * count(*) AS BIGINT) AS cells FROM cells_li GROUP BY f, y")
 _register("block_shards", lambda s, d: flex.to_shards(to_blocks(cells_li(s, d)), (10, 10, 10)).groupBy("sf", "sx", "sy").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(f >> 6 AS INT) sf, CAST(x >> 6 AS INT) sx, CAST(y >> 6 AS INT) sy, count(*) n FROM cells_li GROUP BY ALL")
 _register("block_ancestors", lambda s, d: flex.clamp_zoom(to_blocks(cells_li(s, d)), 12).groupBy("fz", "fi", "xz", "xi", "yz", "yi").agg(F.max("value").alias("value")), "SELECT 12 fz, CAST(f >> 4 AS INT) fi, 12 xz, CAST(x >> 4 AS INT) xi, 12 yz, CAST(y >> 4 AS INT) yi, max(value) AS value FROM cells_li GROUP BY ALL")
 _register("with_time_at", lambda s, d: views._table(s, d, "events").select("event_id", ids.with_time_at(3600, F.unix_timestamp("ts")).alias("c")).select("event_id", "c.*"), "SELECT event_id, CAST(3600 AS BIGINT) i, CAST(floor(epoch(ts) / 3600) AS BIGINT) t FROM events")
 
+_SPAN = "SELECT event_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS t0, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 + 3600 * (1 + event_id % 4) AS t1 FROM events"
+
+
+def _spans(s, d) -> DataFrame:
+    """One to four whole hours from each event's on."""
+    t0 = F.floor(F.unix_timestamp("ts") / 3600) * 3600
+    return views._table(s, d, "events").select("event_id", t0.alias("t0"), (t0 + 3600 * (1 + F.col("event_id") % 4)).cast("long").alias("t1"))
+
+
+_register("range_time_span", lambda s, d: _spans(s, d).select("event_id", ids.range_time_span(F.col("t0"), F.col("t1")).alias("c")).select("event_id", "c.*"), f"SELECT event_id, CAST(gcd(t0, t1 - t0) AS BIGINT) i, CAST(t0 // gcd(t0, t1 - t0) AS BIGINT) t0, CAST(t1 // gcd(t0, t1 - t0) - 1 AS BIGINT) t1 FROM ({_SPAN})")
+_register("with_time_span", lambda s, d: _spans(s, d).select("event_id", ids.with_time_span(F.col("t0"), F.col("t0") + 3600).alias("c")).select("event_id", "c.*"), f"SELECT event_id, CAST(3600 AS BIGINT) i, CAST(t0 // 3600 AS BIGINT) t FROM ({_SPAN})")
+_register("fine_range", lambda s, d: _cells(s, d).select(ids.fine_range_column(F.col("x"), F.col("x") + 2, F.col("z"), 20).alias("x"), ids.fine_range_column(F.col("f"), F.col("f"), F.col("z"), 18).alias("f")).select(F.col("x.lo").alias("x0"), F.col("x.hi").alias("x1"), F.col("f.lo").alias("f0"), F.col("f.hi").alias("f1")), "SELECT CAST(x * 16 AS BIGINT) x0, CAST((x + 3) * 16 - 1 AS BIGINT) x1, CAST(f * 4 AS BIGINT) f0, CAST(f * 4 + 3 AS BIGINT) f1 FROM cells_li")
+_register("edges_shift", lambda s, d: _cells(s, d).select(ids.edges_shift_column("x", F.col("x"), F.col("x"), F.col("z"), 30, 5000, 13).alias("x"), ids.edges_shift_column("y", F.col("y"), F.col("y"), F.col("z"), 40000, 3, 14).alias("y"), ids.edges_shift_column("x", F.col("x"), F.col("x"), F.col("z"), 40000, 30000, 10).alias("w")).select(F.col("x.lo").alias("x0"), F.col("x.hi").alias("x1"), F.col("y.lo").alias("y0"), F.col("y.hi").alias("y1"), F.col("w.lo").alias("w0"), F.col("w.hi").alias("w1")), "SELECT CAST((x - 30 + 65536) % 65536 >> 3 AS BIGINT) x0, CAST((x + 5000) % 65536 >> 3 AS BIGINT) x1, CAST(greatest(y - 40000, 0) >> 2 AS BIGINT) y0, CAST(least(y + 3, 65535) >> 2 AS BIGINT) y1, CAST(0 AS BIGINT) w0, CAST(1023 AS BIGINT) w1 FROM cells_li")
+_register("stretch_x", lambda s, d: _cells(s, d).select("x", F.explode(ids.stretch_column("x", F.col("z"), F.col("x"), 3)).alias("to")), "SELECT x, CAST((x + k) % 65536 AS BIGINT) AS to FROM cells_li , range(0, 4) r(k)")
+_register("stretch_y", lambda s, d: _cells(s, d).select("y", F.explode(ids.stretch_column("y", F.col("z"), F.col("y"), -2)).alias("to")), "SELECT y, CAST(y + k AS BIGINT) AS to FROM cells_li , range(-2, 1) r(k) WHERE y + k >= 0")
+_register("checked_index", lambda s, d: _cells(s, d).select(ids.checked_index("x", F.col("z"), F.pmod(F.col("x") * 3, F.lit(65536))).alias("x"), ids.checked_index("f", F.col("z"), -F.col("f")).alias("f")), "SELECT CAST(x * 3 % 65536 AS INT) x, CAST(-f AS INT) f FROM cells_li")
+
+
+def _timed_pairs(s, d) -> DataFrame:
+    """Every event cell's hour against its parent's first half of that day."""
+    ev = cells_ev(s, d).cells()
+    own = F.struct(*[F.lit(12).alias(f"{k}z") if p == "z" else F.col(k).alias(f"{k}i") for k in "fxy" for p in "zi"], "t0", "t1")
+    day = (F.floor(F.col("t0") / 86400) * 86400).cast("long")
+    up = F.struct(*[F.lit(11).alias(f"{k}z") if p == "z" else F.shiftright(k, 1).alias(f"{k}i") for k in "fxy" for p in "zi"], day.alias("t0"), (day + 43200).alias("t1"))
+    return ev.select(own.alias("a"), up.alias("b"))
+
+
+_EV_DAY = "(SELECT f, x, y, t0, t1, t0 // 86400 * 86400 AS d0 FROM cells_ev)"
+_register("timed_intersection", lambda s, d: _timed_pairs(s, d).select(flex.timed_intersection(F.col("a"), F.col("b")).alias("c")).where("c is not null").select("c.*"), f"SELECT 12 fz, f fi, 12 xz, x xi, 12 yz, y yi, greatest(t0, d0) AS t0, least(t1, d0 + 43200) AS t1 FROM {_EV_DAY} WHERE t0 < d0 + 43200")
+_register(
+    "timed_difference",
+    lambda s, d: _timed_pairs(s, d).select(F.explode(flex.timed_difference(F.col("b"), F.col("a"))).alias("c")).agg(F.sum((F.col("c.t1") - F.col("c.t0")) * F.pow(F.lit(2.0), 36 - F.col("c.fz") - F.col("c.xz") - F.col("c.yz"))).cast("bigint").alias("cell_seconds"), F.count(F.lit(1)).alias("pieces")),
+    f"SELECT CAST(sum(8 * 43200 - greatest(0, least(t1, d0 + 43200) - t0)) AS BIGINT) AS cell_seconds, CAST(sum(CASE WHEN t0 >= d0 + 43200 THEN 1 ELSE 3 + (t0 > d0)::INT + (t1 < d0 + 43200)::INT END) AS BIGINT) AS pieces FROM {_EV_DAY}",
+)
+
 # Time ------------------------------------------------------------------------------------------------------------------------
 
 _register("time_bucket", lambda s, d: views._table(s, d, "events").select("event_id", timeaxis.bucket(F.unix_timestamp("ts"), 86400).alias("day"), timeaxis.bucket(F.unix_timestamp("ts"), 1800).alias("half_hour")), "SELECT event_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(floor(epoch(ts) / 1800) AS BIGINT) AS half_hour FROM events")
