@@ -7,15 +7,15 @@ A block's key is 23 bytes: three 5-bit zooms, the indices in big-endian order, t
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from voxlattice.domain import MAX_ZOOM
 from voxlattice.errors import IdError
+from voxlattice.functions.ids import CELL, gather_thirds, shift_left, shift_right, side, spread_thirds
 
-_CELL = StructType([StructField(c, IntegerType()) for c in ("z", "f", "x", "y")])
-_FLEX = StructType([*(StructField(c, IntegerType()) for c in ("fz", "fi", "xz", "xi", "yz", "yi", "tz")), StructField("ti", LongType())])
+_FLEX = "struct<fz:int,fi:int,xz:int,xi:int,yz:int,yi:int,tz:int,ti:bigint>"
+_LOW15, _LOW43, _LOW45 = (1 << 15) - 1, (1 << 43) - 1, (1 << 45) - 1
 
 
 def _bits(z: int, f: int, x: int, y: int) -> tuple[int, int]:
@@ -63,26 +63,68 @@ def decode_flex(key: bytes) -> tuple[int, ...]:
     return fz, number(2, 6) - (1 << fz), xz, number(6, 10), yz, number(10, 14), key[14], number(15, 23)
 
 
-@F.pandas_udf(BinaryType())
-def cell_key(z: pd.Series, f: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([encode_cell(*r) for r in zip(z.tolist(), f.tolist(), x.tolist(), y.tolist(), strict=True)])
+# The same as Columns -----------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(BinaryType())
-def cell_key_max(z: pd.Series, f: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([cell_prefix_max(*r) for r in zip(z.tolist(), f.tolist(), x.tolist(), y.tolist(), strict=True)])
+def _hex(v: Column, digits: int) -> Column:
+    return F.lpad(F.hex(v), digits, "0")
 
 
-@F.pandas_udf(_CELL)
-def cell_of_key(key: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_cell(bytes(k)) for k in key], columns=["z", "f", "x", "y"])
+def _number(text: Column, first: int, digits: int) -> Column:
+    """``digits`` hex digits from the (zero-based) ``first`` on, as long."""
+    return F.conv(F.substring(text, first + 1, digits), 16, 10).cast("long")
 
 
-@F.pandas_udf(BinaryType())
-def flex_key(fz: pd.Series, fi: pd.Series, xz: pd.Series, xi: pd.Series, yz: pd.Series, yi: pd.Series, tz: pd.Series, ti: pd.Series) -> pd.Series:
-    return pd.Series([encode_flex(*r) for r in zip(*(s.tolist() for s in (fz, fi, xz, xi, yz, yi, tz, ti)), strict=True)])
+def _interleaved(f: Column, x: Column, y: Column, low: Column) -> Column:
+    """Key of indices at zoom 30 (f from zero on) over the ``low`` five bits: 1 + 90 + 5 bits in two halves of 48."""
+    fifteen = lambda c, by: F.shiftright(c, by).bitwiseAND(F.lit(_LOW15))
+    three = lambda by: F.shiftleft(spread_thirds(fifteen(f, by)), 2).bitwiseOR(F.shiftleft(spread_thirds(fifteen(x, by)), 1)).bitwiseOR(spread_thirds(fifteen(y, by)))
+    deep = three(0)
+    high = F.shiftleft(F.shiftleft(F.shiftright(f, 30), 45).bitwiseOR(three(15)), 2).bitwiseOR(F.shiftright(deep, 43))
+    return F.unhex(F.concat(_hex(high, 12), _hex(F.shiftleft(deep.bitwiseAND(F.lit(_LOW43)), 5).bitwiseOR(low), 12)))
 
 
-@F.pandas_udf(_FLEX)
-def flex_of_key(key: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_flex(bytes(k)) for k in key], columns=_FLEX.names)
+def _at_finest(z: Column, f: Column, x: Column, y: Column) -> list[Column]:
+    up = F.lit(MAX_ZOOM) - z
+    return [shift_left(f.cast("long") + side(z), up), shift_left(x.cast("long"), up), shift_left(y.cast("long"), up)]
+
+
+def cell_key(z: Column, f: Column, x: Column, y: Column) -> Column:
+    return _interleaved(*_at_finest(z, f, x, y), z.cast("long"))
+
+
+def cell_key_max(z: Column, f: Column, x: Column, y: Column) -> Column:
+    """The largest key that a descendant can have; no zoom in it."""
+    rest = shift_left(F.lit(1).cast("long"), F.lit(MAX_ZOOM) - z) - 1
+    return _interleaved(*[c.bitwiseOR(rest) for c in _at_finest(z, f, x, y)], F.lit(0).cast("long"))
+
+
+def cell_of_key(key: Column) -> Column:
+    """``struct<z, f, x, y>``, or an error for what is no key."""
+    text = F.hex(key)
+    high, low = _number(text, 0, 12), _number(text, 12, 12)
+    z = low.bitwiseAND(F.lit(31))
+    deep = F.shiftleft(high.bitwiseAND(F.lit(3)), 43).bitwiseOR(F.shiftright(low, 5))
+    coarse = F.shiftright(high, 2).bitwiseAND(F.lit(_LOW45))
+    down = F.lit(MAX_ZOOM) - F.least(z, F.lit(MAX_ZOOM))
+    index = lambda by: F.shiftleft(gather_thirds(F.shiftright(coarse, by)), 15).bitwiseOR(gather_thirds(F.shiftright(deep, by)))
+    f = F.shiftleft(F.shiftright(high, 47), 30).bitwiseOR(index(2))
+    made = F.struct(z.cast("int").alias("z"), (shift_right(f, down) - side(z)).cast("int").alias("f"), shift_right(index(1), down).cast("int").alias("x"), shift_right(index(0), down).cast("int").alias("y"))
+    return F.when((F.length(key) == 12) & (z <= MAX_ZOOM), made).otherwise(F.raise_error(F.lit("not the key of a cell")).cast(CELL))
+
+
+def flex_key(fz: Column, fi: Column, xz: Column, xi: Column, yz: Column, yi: Column, tz: Column, ti: Column) -> Column:
+    head = F.shiftleft(F.shiftleft(fz.cast("long"), 10).bitwiseOR(F.shiftleft(xz.cast("long"), 5)).bitwiseOR(yz.cast("long")), 1)
+    return F.unhex(F.concat(_hex(head, 4), _hex(fi.cast("long") + side(fz), 8), _hex(xi, 8), _hex(yi, 8), _hex(tz, 2), _hex(ti, 16)))
+
+
+def flex_of_key(key: Column) -> Column:
+    """``struct<...FLEX>``, or an error for what is no key."""
+    text = F.hex(key)
+    zoom = lambda by: F.shiftright(_number(text, 0, 4), by).bitwiseAND(F.lit(31)).cast("int")
+    fz, xz, yz = zoom(11), zoom(6), zoom(1)
+    made = F.struct(
+        fz.alias("fz"), (_number(text, 4, 8) - side(fz)).cast("int").alias("fi"), xz.alias("xz"), _number(text, 12, 8).cast("int").alias("xi"),
+        yz.alias("yz"), _number(text, 20, 8).cast("int").alias("yi"), _number(text, 28, 2).cast("int").alias("tz"), _number(text, 30, 16).alias("ti"),
+    )
+    return F.when((F.length(key) == 23) & (F.greatest(fz, xz, yz) <= MAX_ZOOM), made).otherwise(F.raise_error(F.lit("not the key of a block")).cast(_FLEX))
