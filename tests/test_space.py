@@ -233,6 +233,22 @@ def test_keys():
     assert not codecs.encode_cell(*parent) <= codecs.encode_cell(14, 3 * 16, 501 * 16, 700 * 16) <= codecs.cell_prefix_max(*parent)
 
 
+def test_keys_as_columns(spark):
+    cells = [(z, f, x, y) for z in (0, 1, 7, 15, 16, 30) for f in (-(1 << z), -1, 0, (1 << z) - 1) for x in (0, (1 << z) - 1) for y in (0, (1 << z) // 2)]
+    c = [F.col(k) for k in "zfxy"]
+    keyed = spark.createDataFrame(cells, "z int, f int, x int, y int").select(*c, codecs.cell_key(*c).alias("k"), codecs.cell_key_max(*c).alias("m"))
+    for r in keyed.withColumn("back", codecs.cell_of_key(F.col("k"))).collect():
+        cell = (r.z, r.f, r.x, r.y)
+        assert bytes(r.k) == codecs.encode_cell(*cell) and bytes(r.m) == codecs.cell_prefix_max(*cell) and tuple(r.back) == cell
+    blocks_ = [(18, -5, 18, 232848, 17, 103242, 20, 12345), (0, -1, 30, (1 << 30) - 1, 0, 0, 35, (1 << 35) - 1), (30, (1 << 30) - 1, 0, 0, 1, 1, 0, 0)]
+    names = ["fz", "fi", "xz", "xi", "yz", "yi", "tz", "ti"]
+    rows = spark.createDataFrame(blocks_, "fz int, fi int, xz int, xi int, yz int, yi int, tz int, ti long").withColumn("k", codecs.flex_key(*map(F.col, names)))
+    for r in rows.withColumn("back", codecs.flex_of_key(F.col("k"))).collect():
+        assert bytes(r.k) == codecs.encode_flex(*r[:8]) and tuple(r.back) == tuple(r[:8])
+    with pytest.raises(Exception, match="not the key"):
+        spark.createDataFrame([(b"\x00" * 11 + b"\x1f",)], "k binary").select(codecs.cell_of_key(F.col("k"))).collect()
+
+
 def test_range_arithmetic():
     assert ids.fine_range(1, 2, 3, 5) == (4, 11)
     assert ids.edges_shift("x", 0, 1, 3, 1, 0, 3) == (7, 1)

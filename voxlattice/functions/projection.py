@@ -106,6 +106,46 @@ def project_2d(a: Column, u: str, v: str) -> Column:
     return F.struct(a[u].alias("u"), a[v].alias("v"))
 
 
+def scaled(a: Column, by: Column | float) -> Column:
+    return F.struct(*[(a[k] * by).alias(k) for k in "xyz"])
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(norm_squared(a))
+
+
+def normalized(a: Column) -> Column:
+    """The vector of length one; null for the zero vector."""
+    return F.when(norm_squared(a) > 0, scaled(a, F.lit(1.0) / norm(a)))
+
+
+def orthonormal_basis(a: Column) -> Column:
+    """``struct<u, v>``: two unit vectors that span the plane across ``a``; the x and y axes where it is upright or zero."""
+    axis = lambda *v: F.struct(*[F.lit(float(c)).alias(k) for k, c in zip("xyz", v, strict=True)])
+    level = F.struct((-a["y"]).alias("x"), a["x"].alias("y"), F.lit(0.0).alias("z"))
+    upright = (a["x"] == 0) & (a["y"] == 0)
+    pick = lambda other, made: F.when(upright, other).otherwise(normalized(made))
+    return F.struct(pick(axis(1, 0, 0), level).alias("u"), pick(axis(0, 1, 0), cross(a, level)).alias("v"))
+
+
+def triangle_sides(a: Column, b: Column, c: Column) -> Column:
+    """Metres from the first corner to the second, on to the third, and back."""
+    return F.array(distance(a, b), distance(b, c), distance(c, a))
+
+
+def triangle_parts(a: Column, b: Column, c: Column, steps: int) -> Column:
+    """``array<array<position>>``: the triangle cut into ``steps ** 2`` equal ones, row by row from the first corner."""
+    along, across = scaled(minus(b, a), 1 / steps), scaled(minus(c, b), 1 / steps)
+    at = lambda i, j: F.struct(*[(a[k] + along[k] * i + across[k] * j).alias(k) for k in "xyz"])
+    rows = [
+        part
+        for i in range(steps)
+        for j in range(i + 1)
+        for part in ([(i, j), (i + 1, j), (i + 1, j + 1)], *([[(i, j - 1), (i, j), (i + 1, j)]] if j else []))
+    ]
+    return F.array(*[F.array(*[at(i, j) for i, j in part]) for part in rows])
+
+
 def triangle_area(a: Column, b: Column, c: Column) -> Column:
     """Square metres of the triangle of three earth-centred positions."""
     return F.sqrt(norm_squared(cross(minus(b, a), minus(c, a)))) / 2

@@ -98,6 +98,36 @@ def cover_points(table: DataFrame, z: int) -> DataFrame:
     return table.withColumn("cell", at).select(*table.columns, "cell.*")
 
 
+def cover_ecef_points(table: DataFrame, z: int) -> DataFrame:
+    """Adds ``z, f, x, y`` to a table with earth-centred ``ex, ey, ez``."""
+    at = P.from_ecef(F.col("ex"), F.col("ey"), F.col("ez"))
+    found = table.withColumn("at", at)
+    found = found.withColumn("cell", P.cell_of(F.col("at.lat"), F.col("at.lon"), F.col("at.alt"), z))
+    return found.select(*table.columns, "cell.*")
+
+
+def expand_polygons(table: DataFrame) -> DataFrame:
+    """``shape_id, part, ring``: the faces of a solid, or a shape's own corners as its only ring."""
+    rings = F.when(F.size("faces") > 0, F.col("faces")).otherwise(F.array("points"))
+    return table.select("shape_id", F.posexplode(rings).alias("part", "ring"))
+
+
+def expand_coordinates(table: DataFrame) -> DataFrame:
+    """``shape_id, part, lat, lon, alt``: corners in order, those of a solid face by face."""
+    corners = F.when(F.size("faces") > 0, F.flatten("faces")).otherwise(F.col("points"))
+    return table.select("shape_id", F.posexplode(corners).alias("part", "c")).select("shape_id", "part", "c.*")
+
+
+def expand_lines(table: DataFrame) -> DataFrame:
+    """``shape_id, part, a, b``: sides of closed shapes, links of lines and tubes."""
+    open_kind = F.col("kind").isin("line", "tube", "cylinder")
+    rings = expand_polygons(table.where(~open_kind)).select("shape_id", "ring", F.size("ring").alias("n"))
+    chains = table.where(open_kind).select("shape_id", F.col("points").alias("ring"), (F.size("points") - 1).alias("n"))
+    side = lambda k: F.struct(F.get("ring", k).alias("a"), F.get("ring", (k + 1) % F.size("ring")).alias("b"))
+    every = rings.unionByName(chains).where("n > 0").groupBy("shape_id").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("n") - 1), side))).alias("s"))
+    return every.select("shape_id", F.posexplode("s").alias("part", "s")).select("shape_id", "part", "s.a", "s.b")
+
+
 def cover_spheres(table: DataFrame, z: int) -> DataFrame:
     """``shape_id, z, f, x, y`` of a table ``shape_id, lat, lon, alt, radius``: candidate box, then distance; native."""
     e = table.withColumn("e", P.ecef(F.col("lat"), F.col("lon"), F.col("alt")))

@@ -188,6 +188,11 @@ def max_zoom(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.max(F.greatest("fz", "xz", "yz")).alias("max_zoom"))
 
 
+def is_empty(frame: VoxelFrame) -> DataFrame:
+    """One row ``is_empty``; reads no more than a cell of each partition."""
+    return frame.df.limit(1).agg((F.count(F.lit(1)) == 0).alias("is_empty"))
+
+
 def value_get(frame: VoxelFrame, v) -> VoxelFrame:
     return frame.over(frame.df.where(F.col("value") == F.lit(v)))
 

@@ -12,14 +12,15 @@ from voxlattice.domain import CALENDAR
 from voxlattice.frame import VoxelFrame, to_blocks
 from voxlattice.functions import codecs, flex, ids, timeaxis
 from voxlattice.functions import projection as P
-from voxlattice.operators import coalesce, lookups, sets, transforms, writes
+from voxlattice.operators import coalesce, lookups, sets, shards, transforms, writes
 from voxlattice.operators import covers as C
 from voxlattice.operators.canonical import canonicalize
 from voxlattice.operators.lookups import Range
-from voxlattice.operators.policies import AVERAGE, DIFFERENCE, KEEP_EXISTING, MAX, MIN, OVERWRITE, SUM
+from voxlattice.operators.policies import AVERAGE, DIFFERENCE, KEEP_EXISTING, MAX, MIN, OVERWRITE, SUM, MergePolicy
 from voxlattice.operators.transforms import LINEAR, QUADRATIC_IN, QUADRATIC_OUT, Bound
+from voxlattice.plans.nodes import BinaryOp, UnaryOp
 from voxlattice.plans.query import Query
-from voxlattice.sources import jsonio, views
+from voxlattice.sources import generators, jsonio, tables, views
 from voxlattice.sources.views import cells_ev, cells_li, cells_li_b, cells_ord, points_cust, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,9 +386,48 @@ _register("ecef_distance", _ecef, f"""
     g AS (SELECT c_custkey, (n + alt) * cos(p) * cos(q) AS ex, (n + alt) * cos(p) * sin(q) AS ey, (n * (1 - {_E2}) + alt) * sin(p) AS ez FROM e)
     SELECT c_custkey, round(ex, 4) ex, round(ey, 4) ey, round(ez, 4) ez, round(sqrt((ex - 6378137.0) ** 2 + ey ** 2 + ez ** 2), 4) AS distance FROM g""")
 _register("ecef_round_trip", lambda s, d: points_cust(s, d).select("c_custkey", *_point(), P.ecef(*_point()).alias("e")).select("c_custkey", P.from_ecef(F.col("e.x"), F.col("e.y"), F.col("e.z")).alias("c")).select("c_custkey", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"), F.round("c.alt", 2).alias("alt")), "SELECT c_custkey, round(lat, 6) lat, round(lon, 6) lon, round(alt, 2) alt FROM points_cust")
+
+
+def _corners(s, d) -> DataFrame:
+    """``shape_id, p``: the earth-centred corners of the triangles."""
+    return shape_table(s, d, "triangle", 3).select("shape_id", F.transform("points", lambda p: P.ecef(p["lat"], p["lon"], p["alt"])).alias("p"))
+
+
+def _ecef_sql(lat: str, lon: str, alt: str) -> str:
+    """x, y and z of coordinates in radians, as a DuckDB list."""
+    n = f"(6378137.0 / sqrt(1 - {_E2} * sin({lat}) ** 2))"
+    return f"[({n} + ({alt})) * cos({lat}) * cos({lon}), ({n} + ({alt})) * cos({lat}) * sin({lon}), ({n} * (1 - {_E2}) + ({alt})) * sin({lat})]"
+
+
+_CORNERS = "k AS (SELECT c_custkey AS shape_id, i, (lat + 0.0007 * sin(2.4 * i) * i) * pi() / 180 AS p, (lon * 0.99 + 0.0009 * cos(1.7 * i) * i) * pi() / 180 AS q, c_custkey % 50 + 10.0 * i AS h FROM points_cust, range(0, 3) r(i))"
+_SIDES = f"""WITH {_CORNERS}, e AS (SELECT shape_id, i, {_ecef_sql("p", "q", "h")} AS e FROM k),
+    t AS (SELECT a.shape_id, list_distance(a.e, b.e) AS ab, list_distance(b.e, c.e) AS bc, list_distance(c.e, a.e) AS ca FROM e a JOIN e b USING (shape_id) JOIN e c USING (shape_id) WHERE a.i = 0 AND b.i = 1 AND c.i = 2),
+    h AS (SELECT *, (ab + bc + ca) / 2 AS s FROM t), g AS (SELECT *, sqrt(s * (s - ab) * (s - bc) * (s - ca)) AS area FROM h)"""
+_register("triangle_area", lambda s, d: _corners(s, d).select("shape_id", F.round(P.triangle_area(F.col("p")[0], F.col("p")[1], F.col("p")[2]), 2).alias("area")), f"{_SIDES} SELECT shape_id, round(area, 2) AS area FROM g")
+_register("triangle_sides", lambda s, d: _corners(s, d).select("shape_id", P.triangle_sides(F.col("p")[0], F.col("p")[1], F.col("p")[2]).alias("l")).select("shape_id", *[F.round(F.col("l")[k], 4).alias(n) for k, n in enumerate(("ab", "bc", "ca"))]), f"{_SIDES} SELECT shape_id, round(ab, 4) ab, round(bc, 4) bc, round(ca, 4) ca FROM g")
+_register(
+    "triangle_parts",
+    lambda s, d: _corners(s, d).select("shape_id", F.posexplode(P.triangle_parts(F.col("p")[0], F.col("p")[1], F.col("p")[2], 3)).alias("part", "c")).select("shape_id", "part", F.round(P.triangle_area(F.col("c")[0], F.col("c")[1], F.col("c")[2]), 2).alias("area")),
+    f"{_SIDES} SELECT shape_id, CAST(n AS INT) AS part, round(area / 9, 2) AS area FROM g, range(0, 9) r(n)",
+)
+_register(
+    "vector_algebra",
+    lambda s, d: points_cust(s, d).select("c_custkey", P.ecef(*_point()).alias("e"), F.struct(F.lit(1.0).alias("x"), F.lit(-2.0).alias("y"), F.lit(0.5).alias("z")).alias("w"))
+    .select("c_custkey", "e", "w", P.cross(F.col("e"), F.col("w")).alias("c"), P.normalized(F.col("e")).alias("n"), P.orthonormal_basis(F.col("e")).alias("b"))
+    .select(
+        "c_custkey", F.round(P.dot(F.col("e"), F.col("w")), 3).alias("dot"), *[F.round(f"c.{k}", 3).alias(f"c{k}") for k in "xyz"], *[(F.round(f"n.{k}", 9) + 0.0).alias(f"n{k}") for k in "xyz"],
+        *[(F.round(f"b.u.{k}", 9) + 0.0).alias(f"u{k}") for k in "xy"], (F.round(P.dot(F.col("b.v"), F.col("e")), 6) + 0.0).alias("across"), F.round("b.v.z", 9).alias("vz"), F.round(P.norm(F.col("e")), 3).alias("norm"),
+        F.round(P.project_2d(F.col("e"), "z", "x")["u"], 3).alias("pz"),
+    ),
+    f"""WITH e AS (SELECT c_custkey, {_ecef_sql("lat * pi() / 180", "lon * pi() / 180", "alt")} AS e FROM points_cust),
+        v AS (SELECT c_custkey, e[1] AS x, e[2] AS y, e[3] AS z, sqrt(e[1] ** 2 + e[2] ** 2) AS r, sqrt(e[1] ** 2 + e[2] ** 2 + e[3] ** 2) AS l FROM e)
+        SELECT c_custkey, round(x - 2 * y + 0.5 * z, 3) AS dot, round(0.5 * y + 2 * z, 3) cx, round(z - 0.5 * x, 3) cy, round(-2 * x - y, 3) cz, round(x / l, 9) + 0 nx, round(y / l, 9) + 0 ny, round(z / l, 9) + 0 nz,
+        round(-y / r, 9) + 0 ux, round(x / r, 9) + 0 uy, 0.0::DOUBLE AS across, round(r / l, 9) vz, round(l, 3) AS norm, round(z, 3) AS pz FROM v""",
+)
 _register(
-    "triangle_area",
-    lambda s, d: shape_table(s, d, "triangle", 3).select("shape_id", F.transform("points", lambda p: P.ecef(p["lat"], p["lon"], p["alt"])).alias("p")).select("shape_id", F.round(P.triangle_area(F.col("p")[0], F.col("p")[1], F.col("p")[2]), 2).alias("area")),
+    "ecef_points_cover",
+    lambda s, d: C.cover_ecef_points(points_cust(s, d).select("c_custkey", P.ecef(F.col("lat") + 0.00037, F.col("lon") * 0.99 + 0.00013, F.col("alt") + 0.003).alias("e")).select("c_custkey", *[F.col(f"e.{k}").alias(f"e{k}") for k in "xyz"]), 18).select("c_custkey", "z", "f", "x", "y"),
+    "SELECT c_custkey, 18 z, CAST(floor((alt + 0.003) / 128.0) AS INT) f, CAST(floor((lon * 0.99 + 0.00013 + 180) / 360 * 262144) AS INT) x, CAST(floor((1 - ln(tan(radians(lat + 0.00037)) + 1 / cos(radians(lat + 0.00037))) / pi()) / 2 * 262144) AS INT) y FROM points_cust",
 )
 _register("center_of_gravity", lambda s, d: points_cust(s, d).agg(P.center_of_gravity(*_point()).alias("c")).select(*[F.round(f"c.{k}", 6).alias(k) for k in ("lat", "lon", "alt")]), "SELECT round(avg(lat), 6) lat, round(avg(lon), 6) lon, round(avg(alt), 6) alt FROM points_cust")
 
@@ -412,7 +452,19 @@ def solid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("c_custkey").alias("shape_id"), F.lit("solid").alias("kind"), F.lit(None).cast(f"array<{C._POINT}>").alias("points"), faces.alias("faces"), F.lit(None).cast("double").alias("radius"))
 
 
-_register("sphere_cover", lambda s, d: C.cover_spheres(points_cust(s, d).select(F.col("c_custkey").alias("shape_id"), "lat", (F.col("lon") * 0.99).alias("lon"), F.lit(20.0).alias("alt"), (20.0 + F.col("c_custkey") % 40).alias("radius")), 19))
+_PHI_OF = f"list_reduce(list_transform(range(10), lambda n: 0.0::DOUBLE), lambda p, n: atan2(kz + {_E2} * (6378137.0 / sqrt(1 - {_E2} * sin(p) ** 2)) * sin(p), r), atan2(kz, r * (1 - {_E2})))"
+_register(
+    "sphere_cover",
+    lambda s, d: C.cover_spheres(points_cust(s, d).select(F.col("c_custkey").alias("shape_id"), "lat", (F.col("lon") * 0.99).alias("lon"), F.lit(20.0).alias("alt"), (20.0 + F.col("c_custkey") % 40).alias("radius")), 19),
+    f"""WITH e AS (SELECT c_custkey AS shape_id, (20.0 + c_custkey % 40)::DOUBLE AS radius, {_ecef_sql("lat * pi() / 180", "lon * 0.99 * pi() / 180", "20.0")} AS e FROM points_cust),
+        k AS (SELECT shape_id, radius, e, e[1] + a * radius AS kx, e[2] + b * radius AS ky, e[3] + c * radius AS kz, sqrt((e[1] + a * radius) ** 2 + (e[2] + b * radius) ** 2) AS r FROM e, (VALUES (1), (-1)) p(a), (VALUES (1), (-1)) q(b), (VALUES (1), (-1)) o(c)),
+        l AS (SELECT *, {_PHI_OF} AS p FROM k),
+        i AS (SELECT shape_id, radius, e, floor((r / cos(p) - 6378137.0 / sqrt(1 - {_E2} * sin(p) ** 2)) / 64) AS f, floor((atan2(ky, kx) / pi() * 180 + 180) / 360 * 524288) AS x, floor((1 - ln(tan(p) + 1 / cos(p)) / pi()) / 2 * 524288) AS y FROM l),
+        b AS (SELECT shape_id, radius, any_value(e) AS e, min(f)::BIGINT AS f0, max(f)::BIGINT AS f1, min(x)::BIGINT AS x0, max(x)::BIGINT AS x1, min(y)::BIGINT AS y0, max(y)::BIGINT AS y1 FROM i GROUP BY 1, 2),
+        fs AS (SELECT *, unnest(range(f0, f1 + 1)) AS f FROM b), xs AS (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM fs), ys AS (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM xs)
+        SELECT shape_id, 19 z, CAST(f AS INT) f, CAST(x AS INT) x, CAST(y AS INT) y FROM ys
+        WHERE list_distance({_ecef_sql("atan(sinh(pi() * (1 - 2 * (y + 0.5) / 524288)))", "(2 * pi() * (x + 0.5) / 524288 - pi())", "(f + 0.5) * 64")}, e) <= radius + 2 * pi() * 6378137.0 / 524288 * sqrt(3) / 2""",
+)
 _register("line_cover", lambda s, d: C.cover(shape_table(s, d, "line", 2), 20))
 _register("triangle_cover", lambda s, d: C.cover(shape_table(s, d, "triangle", 3), 20))
 _register("polygon_cover", lambda s, d: C.cover(shape_table(s, d, "polygon", 4), 19))
@@ -438,3 +490,137 @@ def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("json_round_trip", _json_round_trip, f"{_RUNS} SELECT 4 z, f, x, y, CAST({_unit} AS BIGINT) i, CAST(t0 // ({_unit}) AS BIGINT) lo, CAST(t1 // ({_unit}) - 1 AS BIGINT) hi, value FROM runs")
+
+
+def _stored(frame: VoxelFrame, read) -> DataFrame | VoxelFrame:
+    """``read(path)`` of the frame's document."""
+    path = tables.working_folder(frame.df.sparkSession)
+    jsonio.write_document(frame, path)
+    return read(path)
+
+
+_register("document_read", lambda s, d: _stored(_coarse_ev(s, d), lambda path: jsonio.read_frame(s, path, 4)), f"{_RUNS} SELECT 4 z, f, x, y, t0, t1, value FROM runs")
+_Z11 = "CAST(f >> 5 AS INT) f, CAST(x >> 5 AS INT) x, CAST(y >> 5 AS INT) y"
+_ALWAYS = "CAST(0 AS BIGINT) t0, CAST(34359738368 AS BIGINT) t1"
+_register("document_read_set", lambda s, d: _stored(transforms.zoom_out(cells_li(s, d), 11, MAX).without_values(), lambda path: jsonio.read_frame(s, path, 11, None)), f"SELECT DISTINCT 11 z, {_Z11}, {_ALWAYS} FROM cells_li")
+_register("document_read_untimed", lambda s, d: _stored(transforms.map_values(transforms.zoom_out(cells_li(s, d), 11, MAX), lambda v: (v / 10).cast("bigint")), lambda path: jsonio.read_frame(s, path, 11)), f"SELECT 11 z, {_Z11}, {_ALWAYS}, max(value) // 10 AS value FROM cells_li GROUP BY 2, 3, 4")
+
+
+def _stored_cells(s, d) -> VoxelFrame:
+    path = tables.working_folder(s)
+    tables.write_cells(cells_li(s, d), path, 8)
+    return Query.of(tables.CellTable(s, path, 16, 8), "stored").shift_x(16, 2).lazy_get(_LAZY)
+
+
+def _stored_blocks(s, d) -> DataFrame:
+    path = tables.working_folder(s)
+    tables.write_blocks(to_blocks(cells_li(s, d)), path)
+    return tables.read_blocks(s, path)
+
+
+_register("stored_cells", _stored_cells, f"SELECT 16 z, * FROM (SELECT f, CAST(x + 2 AS INT) x, y, value FROM cells_li) q WHERE {_IN_TARGET}")
+_register("stored_blocks", _stored_blocks, f"SELECT {_BLOCK} FROM cells_li")
+
+_PATTERNS = {
+    "dense": "id // 484, id // 22 % 22, id % 22",
+    "linear": "0, id, id",
+    "clusters": "id % 1250 // 121, id % 1250 // 11 % 11 + id // 1250 % 4 * 44, id % 1250 % 11 + id // 5000 * 44",
+    "layered": "id // 1000 * 5, id % 1000 // 32, id % 1000 % 32",
+    "checkerboard": "id // 22 // 44, id // 22 % 44, id % 22 * 2 + (id // 22 // 44 + id // 22 % 44) % 2",
+}
+
+
+def _patterns(s, d) -> DataFrame:
+    every = [generators.pattern(s, kind, 10_000).select(F.lit(kind).alias("kind"), "*") for kind in _PATTERNS]
+    out = every[0]
+    for one in every[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+_register("generated_patterns", _patterns, " UNION ALL ".join(
+    "SELECT '{}' AS kind, id, CAST({} AS INT) f, CAST({} AS INT) x, CAST({} AS INT) y FROM range(0, 10000) r(id)".format(kind, *sql.split(", "))
+    for kind, sql in _PATTERNS.items()
+))
+
+# Keys, halves, shards ----------------------------------------------------------------------------------------------------------
+
+_KEY_BITS = "list_sum(list_transform(range(0, 16), lambda i: (((f + 65536) >> i & 1) * 4 + (x >> i & 1) * 2 + (y >> i & 1))::HUGEINT << (3 * i)))::HUGEINT + (((f + 65536) >> 16 & 1)::HUGEINT << 48)"
+_register(
+    "cell_keys",
+    lambda s, d: _cells(s, d).select("f", "x", "y", F.hex(codecs.cell_key(*_cell())).alias("key"), F.hex(codecs.cell_key_max(*_cell())).alias("key_max")),
+    f"SELECT f, x, y, lpad(to_hex((({_KEY_BITS})::HUGEINT << 47) + 16), 24, '0') AS key, lpad(to_hex((({_KEY_BITS})::HUGEINT << 47) + (((1::HUGEINT << 42) - 1) << 5)), 24, '0') AS key_max FROM cells_li",
+)
+_register(
+    "block_halves",
+    lambda s, d: flex.halved(flex.halved(to_blocks(cells_li(s, d)), "y", True), "t", False),
+    "SELECT 16 AS fz, f AS fi, 16 AS xz, x AS xi, 17 AS yz, y * 2 + 1 AS yi, 1 AS tz, CAST(0 AS BIGINT) AS ti, value FROM cells_li",
+)
+_register(
+    "block_difference",
+    lambda s, d: to_blocks(cells_li(s, d)).select(F.struct(*[(F.lit(14) if c[1] == "z" else F.shiftright(c, 2)).alias(c) if c[0] != "t" else F.col(c) for c in flex.FLEX]).alias("a"), F.struct(*flex.FLEX).alias("b")).select(F.explode(flex.difference_column(F.col("a"), F.col("b"))).alias("c")).select("c.*"),
+    " UNION ALL ".join(
+        f"SELECT {fz} fz, CAST({fi} AS INT) fi, {xz} xz, CAST({xi} AS INT) xi, {yz} yz, CAST({yi} AS INT) yi, 0 AS tz, CAST(0 AS BIGINT) AS ti FROM cells_li"
+        for fz, fi, xz, xi, yz, yi in (
+            (15, "xor(f >> 1, 1)", 14, "x >> 2", 14, "y >> 2"), (16, "xor(f, 1)", 14, "x >> 2", 14, "y >> 2"), (16, "f", 15, "xor(x >> 1, 1)", 14, "y >> 2"),
+            (16, "f", 16, "xor(x, 1)", 14, "y >> 2"), (16, "f", 16, "x", 15, "xor(y >> 1, 1)"), (16, "f", 16, "x", 16, "xor(y, 1)"),
+        )
+    ),
+)
+_REGION: shards.Region = {"f": (14, 0), "x": (8, 0), "y": (11, 0)}
+_IN_REGION = "f BETWEEN 0 AND 3 AND x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 31"
+_register("in_shard", lambda s, d: shards.in_shard(cells_li(s, d), _REGION), f"SELECT 16 z, * FROM cells_li WHERE {_IN_REGION}")
+
+
+def _shard_halves(s, d) -> DataFrame:
+    low, high = (half.cells().withColumn("half", F.lit(k)) for k, (_, half) in enumerate(shards.split_shard(cells_li(s, d), _REGION)))
+    return low.unionByName(high)
+
+
+_register("split_shard", _shard_halves, f"SELECT 16 z, *, CASE WHEN x < 128 THEN 0 ELSE 1 END AS half FROM cells_li WHERE {_IN_REGION}")
+_register("merge_shards", lambda s, d: shards.merge_shards(_REGION, shards.split_shard(cells_li(s, d), _REGION)), f"SELECT 16 z, * FROM cells_li WHERE {_IN_REGION}")
+
+# Steps, sources and policies of one's own ----------------------------------------------------------------------------------------
+
+
+class _Rolling(MergePolicy):
+    """Depends on the order of its values."""
+
+    name = "Rolling"
+
+    def resolve(self, a, b, kind):
+        return (a * 31 + b) % 1009
+
+
+class _Scaled(UnaryOp):
+    def run(self, frame):
+        return transforms.map_values(frame, lambda v: v * 10)
+
+
+class _Later(BinaryOp):
+    def run(self, left, right):
+        return sets.merge_with(left, right, lambda a, b: a - b)
+
+
+class _Returned:
+    """A source that reads itself."""
+
+    def __init__(self, spark, sf_dir):
+        self.of = spark, sf_dir
+
+    def read(self, ranges=None):
+        frame = cells_li_b(*self.of)
+        return frame if ranges is None else lookups.get_overlapping(frame, ranges)
+
+
+_register("zoom_out_custom", _on(cells_ord, lambda q: q.zoom_out(14, _Rolling())), _zoom_sql("cells_ord", 14, 6, "list_reduce(list(value ORDER BY f, x, y), lambda a, b: (a * 31 + b) % 1009)"))
+_register("custom_steps", lambda s, d: Query.of(cells_li(s, d)).then(_Scaled()).with_other(_Later(), Query.of(_Returned(s, d), "returned")).run(), f"SELECT 16 z, f, x, y, CASE WHEN va IS NULL THEN vb WHEN vb IS NULL THEN va * 10 ELSE va * 10 - vb END AS value FROM {_FULL}")
+_register("raw_run", lambda s, d: _chain(Query.of(cells_li(s, d))).raw_run(), _LAZY_SQL.replace(_IN_TARGET, "true"))
+_register("map_in_place", lambda s, d: writes.map_in_place(cells_li(s, d), lambda v: v * v), "SELECT 16 z, f, x, y, value * value AS value FROM cells_li")
+_register("clear", lambda s, d: writes.clear(cells_li(s, d)), "SELECT 16 z, * FROM cells_li WHERE false")
+_register("is_empty", lambda s, d: lookups.is_empty(cells_li(s, d)).unionByName(lookups.is_empty(writes.clear(cells_li(s, d)))), "SELECT count(*) = 0 AS is_empty FROM cells_li UNION ALL SELECT true")
+_register("relabel_time", lambda s, d: _spans(s, d).select("event_id", ids.relabel_time(F.lit(3600).cast("long"), (F.col("t0") / 3600).cast("long"), 3600).alias("c"), ids.without_time().alias("w")).select("event_id", "c.*", F.col("w.i").alias("whole"), F.col("w.t").alias("first")), f"SELECT event_id, CAST(3600 AS BIGINT) i, CAST(t0 // 3600 AS BIGINT) t, CAST(34359738368 AS BIGINT) AS whole, CAST(0 AS BIGINT) AS first FROM ({_SPAN})")
+_register("time_span", lambda s, d: _spans(s, d).select("event_id", timeaxis.span((F.col("t0") / 3600).cast("long"), 3600).alias("c")).select("event_id", "c.*"), f"SELECT event_id, CAST(t0 AS BIGINT) t0, CAST(t0 + 3600 AS BIGINT) t1 FROM ({_SPAN})")
+_register("expand_coordinates", lambda s, d: C.expand_coordinates(shape_table(s, d, "tube", 3)).select("shape_id", "part", *[F.round(c, 9).alias(c) for c in ("lat", "lon", "alt")]), "SELECT c_custkey AS shape_id, CAST(i AS INT) AS part, round(lat + 0.0007 * sin(2.4 * i) * i, 9) lat, round(lon * 0.99 + 0.0009 * cos(1.7 * i) * i, 9) lon, round(c_custkey % 50 + 10.0::DOUBLE * i, 9) alt FROM points_cust, range(0, 3) r(i)")
+_register("expand_lines", lambda s, d: C.expand_lines(shape_table(s, d, "triangle", 3)).select("shape_id", "part", F.round("a.alt", 6).alias("a"), F.round("b.alt", 6).alias("b")), "SELECT c_custkey AS shape_id, CAST(i AS INT) AS part, round(c_custkey % 50 + 10.0::DOUBLE * i, 6) a, round(c_custkey % 50 + 10.0::DOUBLE * ((i + 1) % 3), 6) b FROM points_cust, range(0, 3) r(i)")
+_register("expand_polygons", lambda s, d: C.expand_polygons(solid_table(s, d)).select("shape_id", "part", F.size("ring").alias("corners")), "SELECT c_custkey AS shape_id, CAST(i AS INT) AS part, 4 AS corners FROM points_cust, range(0, 6) r(i)")

@@ -6,6 +6,9 @@ pruned by directory and by row-group statistics.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,12 @@ from voxlattice.operators.lookups import Range, get_overlapping
 FORMAT_VERSION = 1
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one of ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="voxlattice-tables-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def write_blocks(blocks: DataFrame, path: str) -> None:
     """Any table of blocks with its value column."""
     blocks.withColumn("format_version", F.lit(FORMAT_VERSION)).repartitionByRange("xz", "xi", "yi").sortWithinPartitions("xz", "xi", "yi", "fi").write.mode("overwrite").parquet(path)
