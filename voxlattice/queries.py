@@ -233,8 +233,8 @@ _register("single_id_text", lambda s, d: cells_ev(s, d).cells().select(ids.singl
 _register("parse_id", lambda s, d: cells_ev(s, d).cells().select(ids.parse_single(ids.single_text(*_cell(), F.lit(3600), (F.col("t0") / 3600).cast("long"))).alias("p")).select("p.*"), "SELECT 12 z, f, x, y, CAST(3600 AS BIGINT) i, t0 // 3600 AS t FROM cells_ev")
 _register("parse_range_id", lambda s, d: _cells(s, d).select(ids.parse_range(ids.range_text(F.col("z"), F.col("f"), F.col("f") + 1, F.col("x"), F.col("x"), F.col("y"), F.col("y") + 2)).alias("p")).select("p.*"), "SELECT 16 z, f AS f0, f + 1 AS f1, x AS x0, x AS x1, y AS y0, y + 2 AS y1, CAST(34359738368 AS BIGINT) i, CAST(0 AS BIGINT) t0, CAST(0 AS BIGINT) t1 FROM cells_li")
 _register("flex_id_text", lambda s, d: to_blocks(cells_li(s, d)).select(ids.flex_text(*[F.col(c) for c in ("fz", "fi", "xz", "xi", "yz", "yi", "tz", "ti")]).alias("id")), "SELECT '16/' || f || '|16/' || x || '|16/' || y AS id FROM cells_li")
-_register("encode_round_trip", lambda s, d: _cells(s, d).select(codecs.cell_of_key(codecs.cell_key(*_cell())).alias("c"), "value").select("c.*", "value"), "SELECT 16 z, f, x, y, value FROM cells_li")
-_register("flex_encode_round_trip", lambda s, d: to_blocks(cells_ev(s, d)).select(codecs.flex_of_key(codecs.flex_key(*[F.col(c) for c in ("fz", "fi", "xz", "xi", "yz", "yi", "tz", "ti")])).alias("c")).groupBy("c.fi", "c.xi", "c.yi").agg(F.sum(ids.shift_left(F.lit(1).cast("long"), 35 - F.col("c.tz"))).alias("seconds")), "SELECT f AS fi, x AS xi, y AS yi, CAST(sum(t1 - t0) AS BIGINT) AS seconds FROM cells_ev GROUP BY ALL")
+_register("encode_round_trip", lambda s, d: _cells(s, d).select(codecs.cell_key(*_cell()).alias("k"), "value").select(codecs.cell_of_key(F.col("k")).alias("c"), "value").select("c.*", "value"), "SELECT 16 z, f, x, y, value FROM cells_li")
+_register("flex_encode_round_trip", lambda s, d: to_blocks(cells_ev(s, d)).select(codecs.flex_key(*[F.col(c) for c in flex.FLEX]).alias("k")).select(codecs.flex_of_key(F.col("k")).alias("c")).groupBy("c.fi", "c.xi", "c.yi").agg(F.sum(ids.shift_left(F.lit(1).cast("long"), 35 - F.col("c.tz"))).alias("seconds")), "SELECT f AS fi, x AS xi, y AS yi, CAST(sum(t1 - t0) AS BIGINT) AS seconds FROM cells_ev GROUP BY ALL")
 _register("dyadic_segments", lambda s, d: to_blocks(cells_ev(s, d)).groupBy("xi", "yi", "value").agg(F.sum(ids.shift_left(F.lit(1).cast("long"), 35 - F.col("tz"))).alias("seconds"), F.min(F.col("ti") * ids.shift_left(F.lit(1).cast("long"), 35 - F.col("tz"))).alias("start")), "SELECT x AS xi, y AS yi, value, CAST(sum(t1 - t0) AS BIGINT) AS seconds, min(t0) AS start FROM cells_ev GROUP BY ALL")
 
 _register(
