@@ -132,3 +132,34 @@ def test_native_vectors(spark):
     assert np.isclose(r["a"], shapes.triangle_area(pts)) and r["n"] and not r["m"] and abs(r["o"]) < 1e7
     assert np.allclose(tuple(r["p"]), shapes.to_ecef(pts)[0][[0, 2]])
     assert shapes.prism_sides(5, 18) == 57 and shapes.prism_sides(1000, 25) == 1047
+
+
+def _grown(spark, kind, corners, radius):
+    """30 shapes of growing size."""
+    point = lambda k, i: (35.681 + 0.0004 * k * i, 139.766 - 0.0003 * k * i * i, 10.0 * i + k)
+    rows = [(k, kind, [point(k, i) for i in range(corners)], [list(map(tuple, f.tolist())) for f in box(35.68 + k, 139.766, 0.0002 * (k + 1), 20.0 * k + 5)] if kind == "solid" else None, radius + k) for k in range(30)]
+    return spark.createDataFrame(rows, covers.SHAPES)
+
+
+@pytest.mark.parametrize("kind, corners", [("triangle", 3), ("polygon", 5), ("sphere", 1), ("cylinder", 2), ("tube", 3), ("solid", 0)])
+def test_shapes_are_covered_together(spark, monkeypatch, kind, corners):
+    table = _grown(spark, kind, corners, 5.0)
+    want = {(r["shape_id"], *v) for r in table.collect() for v in covers.cover_one(kind, covers._array(r["points"]), [covers._array(f) for f in r["faces"] or ()], r["radius"], 19).tolist()}
+    found = covers.cover(table, 19).collect()
+    assert len(found) == len(want) and {(r["shape_id"], r["f"], r["x"], r["y"]) for r in found} == want
+    runs = covers.cover_ranges(table, 19).collect()
+    assert {(r["shape_id"], f, r["x"], r["y"]) for r in runs for f in range(r["f0"], r["f1"] + 1)} == want
+    # One pass over a batch, not one per shape; large shapes are held by themselves.
+    batch = table.toArrow().combine_chunks().to_batches()[0]
+    assert len(list(covers.cover_batch(batch, 15))) <= 2
+    monkeypatch.setattr(covers, "_HELD", 1)
+    alone = list(covers.cover_batch(batch, 19))
+    assert len(alone) == 30 and {(int(i[0]), *v) for i, rows in alone for v in rows[:, 1:].tolist()} == want
+
+
+def test_open_solids_are_found_in_a_batch(spark):
+    table = _grown(spark, "solid", 0, 5.0)
+    with pytest.raises(Exception, match="open at 4 edges"):
+        covers.cover(table.withColumn("faces", F.expr("if(shape_id = 17, slice(faces, 1, 5), faces)")), 19).collect()
+    with pytest.raises(Exception, match="open at 0 edges"):
+        covers.cover(table.withColumn("faces", F.expr("if(shape_id = 17, null, faces)")), 19).collect()

@@ -1,8 +1,8 @@
 """Covers: a table of shapes to a table of voxels, one row to many.
 
 A shape row is ``shape_id, kind, points array<struct<lat, lon, alt>>, radius`` (faces of a solid:
-``faces array<array<struct>>``). Each row is covered by itself in a Python worker that holds one shape's voxels at a
-time; rows are dealt evenly. Points and spheres have native forms.
+``faces array<array<struct>>``). Rows are dealt evenly over Python workers, which cover many small shapes at once and
+large ones by themselves: what a worker holds is bounded by ``_HELD`` voxels or one shape. Points and spheres have native forms.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from voxlattice.operators import shapes
 _POINT = "struct<lat:double,lon:double,alt:double>"
 SHAPES = f"shape_id long, kind string, points array<{_POINT}>, faces array<array<{_POINT}>>, radius double"
 _BATCH = 100_000
+#: Voxels and shapes that are covered at once.
+_HELD, _TOGETHER = 500_000, 256
 
 
 def _array(points) -> np.ndarray:
@@ -48,15 +51,103 @@ def cover_one(kind: str, points: np.ndarray, faces: list[np.ndarray], radius: fl
     raise GeometryError(f"no shape {kind}")
 
 
+def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of lat, lon, alt, how many of each list) of an Arrow array of lists of points."""
+    flat = lists.flatten()
+    rows = [pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon", "alt")]
+    return np.stack(rows, 1).reshape(-1, 3), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _reach(points: np.ndarray, lengths: np.ndarray, radius: np.ndarray, z: int) -> np.ndarray:
+    """About how many voxels the box around each shape has: at most ``_HELD`` counts."""
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    with np.errstate(all="ignore"):
+        at = shapes.fractional(points, z)
+        size = np.ones((len(lengths), 3))
+        for k in range(3):
+            low, high = np.full(len(lengths), np.inf), np.full(len(lengths), -np.inf)
+            np.minimum.at(low, own, at[:, k])
+            np.maximum.at(high, own, at[:, k])
+            size[:, k] = high - low
+        flat = np.full(len(lengths), 1.0)
+        np.minimum.at(flat, own, np.cos(np.radians(points[:, 0])))
+        wide = 2 * np.nan_to_num(radius)[:, None] * (1 << z) / np.stack([np.full(len(lengths), 2.0**25), *[2 * math.pi * EARTH_A * np.maximum(flat, 1e-6)] * 2], 1)
+        n = (np.where(np.isfinite(size), size, 0) + wide + 3).prod(1)
+    return np.minimum(n, _HELD).astype(np.int64)
+
+
+def _solids(points: np.ndarray, corners: np.ndarray, owner: np.ndarray, n: int, z: int, surface: bool) -> np.ndarray:
+    """(owner, f, x, y) of n solids, whose faces have ``corners`` (0 is none) of the points."""
+    first = np.cumsum(corners) - corners
+    if not surface:
+        open_ = shapes.open_edges_of(points, corners[corners > 0], owner[corners > 0], n, 1e-6)
+        bare = np.bincount(owner[corners > 0], minlength=n) == 0
+        if open_.any() or bare.any():
+            raise GeometryError(f"the solid is open at {0 if bare.any() else open_[open_ > 0][0]} edges")
+    parts, whose = [], []
+    for m in np.unique(corners):
+        face = np.flatnonzero(corners == m)
+        cut, of = shapes.polygons_triangles(points[first[face][:, None] + np.arange(m)])
+        parts.append(cut)
+        whose.append(owner[face][of])
+    found = shapes.covers_of_triangles(np.concatenate(parts), np.concatenate(whose), z) if parts else np.zeros((0, 4), np.int64)
+    return found if surface else shapes.filled(found)
+
+
+def _cover_alike(kind: str, points: np.ndarray, lengths: np.ndarray, faces, radius: np.ndarray, z: int, surface: bool) -> np.ndarray:
+    """(shape, f, x, y) of shapes of one kind, by their place."""
+    own, first = np.arange(len(lengths)), np.cumsum(lengths) - lengths
+    if kind == "solid":
+        return _solids(*faces, len(lengths), z, surface)
+    if kind == "tube" and (lengths > 0).all():
+        return shapes.tubes(points, lengths, radius, z)
+    if kind == "sphere" and (lengths > 0).all():
+        return shapes.spheres(points[first], radius, own, z)
+    if kind == "cylinder" and (lengths == 2).all():
+        return shapes.cylinders(points.reshape(-1, 2, 3), radius, own, z)
+    if kind in ("triangle", "polygon"):
+        parts, whose = [np.zeros((0, 3, 3))], [np.zeros(0, np.int64)]
+        for m in np.unique(lengths):
+            same = np.flatnonzero(lengths == m)
+            cut, of = shapes.polygons_triangles(points[first[same][:, None] + np.arange(m)])
+            parts.append(cut)
+            whose.append(same[of])
+        return shapes.covers_of_triangles(np.concatenate(parts), np.concatenate(whose), z)
+    each = [cover_one(kind, points[a : a + n], [], r, z, surface) for a, n, r in zip(first, lengths, radius, strict=True)]
+    return np.concatenate([np.zeros((0, 4), np.int64), *(np.column_stack([np.full(len(v), k), v]) for k, v in enumerate(each))])
+
+
+def cover_batch(batch: pa.RecordBatch, z: int, surface: bool = False):
+    """Pairs of ``shape_id``s and (shape, f, x, y), the shape as its place among them; a shape's voxels are in one pair."""
+    for kind in pc.unique(batch["kind"]).to_pylist():
+        rows = batch.filter(pc.equal(batch["kind"], kind)) if kind is not None else batch.filter(pc.is_null(batch["kind"]))
+        if kind == "solid":
+            rings = rows["faces"].flatten()
+            corners, n = _ragged(rings)
+            of = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows["faces"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lengths = np.bincount(of, n, len(rows)).astype(np.int64)
+        else:
+            corners, lengths = _ragged(rows["points"])
+        radius = rows["radius"].to_numpy(zero_copy_only=False).astype(float)
+        weight = np.maximum(_reach(corners, lengths, radius, z), _HELD // _TOGETHER)
+        shape_ids, ends = rows["shape_id"].to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lengths))
+        for run in shapes._runs_of(weight, _HELD):
+            faces = None
+            if kind == "solid":
+                mine = (of >= run.start) & (of < run.stop)
+                faces = corners[ends[run.start] : ends[run.stop]], n[mine], of[mine] - run.start
+            yield shape_ids[run], _cover_alike(kind, corners[ends[run.start] : ends[run.stop]], lengths[run], faces, radius[run], z, surface)
+
+
 def cover(table: DataFrame, z: int, surface: bool = False) -> DataFrame:
     """``shape_id, z, f, x, y``, each voxel of a shape once."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                v = cover_one(r["kind"], _array(r["points"]), [_array(f) for f in r["faces"] or ()], r["radius"], z, surface)
+            for shape_ids, v in cover_batch(batch, z, surface):
                 for a in range(0, len(v), _BATCH):
-                    yield _rows(r["shape_id"], z, v[a : a + _BATCH])
+                    part = v[a : a + _BATCH]
+                    yield _rows(shape_ids[part[:, 0]], z, part[:, 1:], ["f", "x", "y"])
 
     return _dealt(table).mapInArrow(run, "shape_id long, z int, f int, x int, y int")
 
@@ -66,14 +157,16 @@ def _dealt(table: DataFrame) -> DataFrame:
 
     The number of partitions is given, as AQE would put such small rows back into one.
     """
-    n = 4 * table.sparkSession.sparkContext.defaultParallelism
-    return table.select("shape_id", "kind", "points", "faces", "radius").repartition(n, "shape_id")
+    return table.select("shape_id", "kind", "points", "faces", "radius").repartition(_deals(table), "shape_id")
+
 
+def _deals(table: DataFrame) -> int:
+    return 4 * table.sparkSession.sparkContext.defaultParallelism
 
-def _rows(shape_id: int, z: int, v: np.ndarray) -> pa.RecordBatch:
-    n = len(v)
-    columns = [pa.array(np.full(n, shape_id), pa.int64()), pa.array(np.full(n, z, np.int32)), *(pa.array(v[:, k].astype(np.int32)) for k in range(3))]
-    return pa.record_batch(columns, names=["shape_id", "z", "f", "x", "y"])
+
+def _rows(shape_ids: np.ndarray, z: int, v: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    columns = [pa.array(shape_ids, pa.int64()), pa.array(np.full(len(v), z, np.int32)), *(pa.array(v[:, k].astype(np.int32)) for k in range(len(names)))]
+    return pa.record_batch(columns, names=["shape_id", "z", *names])
 
 
 def cover_ranges(table: DataFrame, z: int) -> DataFrame:
@@ -81,13 +174,11 @@ def cover_ranges(table: DataFrame, z: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                v = shapes.voxel_runs(cover_one(r["kind"], _array(r["points"]), [_array(f) for f in r["faces"] or ()], r["radius"], z))
-                n = len(v)
-                yield pa.record_batch(
-                    [pa.array(np.full(n, r["shape_id"]), pa.int64()), pa.array(np.full(n, z, np.int32)), *(pa.array(v[:, k].astype(np.int32)) for k in range(4))],
-                    names=["shape_id", "z", "f0", "f1", "x", "y"],
-                )
+            for shape_ids, v in cover_batch(batch, z):
+                runs = shapes.voxel_runs(v[:, 1:], v[:, 0])
+                for a in range(0, len(runs), _BATCH):
+                    part = runs[a : a + _BATCH]
+                    yield _rows(shape_ids[part[:, 0]], z, part[:, 1:], ["f0", "f1", "x", "y"])
 
     return _dealt(table).mapInArrow(run, "shape_id long, z int, f0 int, f1 int, x int, y int")
 
