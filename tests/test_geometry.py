@@ -163,3 +163,8 @@ def test_open_solids_are_found_in_a_batch(spark):
         covers.cover(table.withColumn("faces", F.expr("if(shape_id = 17, slice(faces, 1, 5), faces)")), 19).collect()
     with pytest.raises(Exception, match="open at 0 edges"):
         covers.cover(table.withColumn("faces", F.expr("if(shape_id = 17, null, faces)")), 19).collect()
+
+
+def test_spheres_are_dealt_before_they_grow(spark):
+    table = spark.range(100).coalesce(1).selectExpr("id AS shape_id", "35.0 + id / 10D AS lat", "139.0D AS lon", "20.0D AS alt", "30.0D AS radius")
+    assert covers.cover_spheres(table, 19).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

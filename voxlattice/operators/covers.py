@@ -221,7 +221,8 @@ def expand_lines(table: DataFrame) -> DataFrame:
 
 def cover_spheres(table: DataFrame, z: int) -> DataFrame:
     """``shape_id, z, f, x, y`` of a table ``shape_id, lat, lon, alt, radius``: candidate box, then distance; native."""
-    e = table.withColumn("e", P.ecef(F.col("lat"), F.col("lon"), F.col("alt")))
+    dealt = table.select("shape_id", "lat", "lon", "alt", "radius").repartition(_deals(table), "shape_id")
+    e = dealt.withColumn("e", P.ecef(F.col("lat"), F.col("lon"), F.col("alt")))
     corners = F.array(*[
         P.from_ecef(F.col("e.x") + a * F.col("radius"), F.col("e.y") + b * F.col("radius"), F.col("e.z") + c * F.col("radius"))
         for a in (1, -1) for b in (1, -1) for c in (1, -1)
