@@ -86,3 +86,12 @@ def test_morton_keys_keep_prefixes(spark):
     key = lambda *c: spark.range(1).select(ids.morton(*map(F.lit, c)).alias("k")).first()["k"]
     parent, inside, after = key(10, 3, 500, 700), key(14, 53, 8001, 11215), key(10, 3, 501, 700)
     assert parent <= inside and inside != after and key(10, 3, 500, 700) == key(14, 48, 8000, 11200)
+
+
+def test_native_covers_at_any_zoom(spark):
+    from voxlattice.functions import timeaxis
+
+    rows = [(z, lo, lo + n) for z in (0, 1, 4, 16, 30) for lo in (-(1 << z), -3, -1, 0, 1, 5, (1 << z) - 1) for n in (0, 1, 2, 5, 1 << z)]
+    df = spark.createDataFrame(rows, "z int, lo long, hi long").withColumn("c", timeaxis.dyadic_column(F.col("lo"), F.col("hi"), F.col("z")))
+    for r in df.collect():
+        assert [tuple(c) for c in r["c"]] == timeaxis.dyadic(r["lo"], r["hi"], r["z"])

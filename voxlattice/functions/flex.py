@@ -122,16 +122,13 @@ def from_ranges(ranges: DataFrame) -> DataFrame:
 
     df = ranges
     for a in "fxy":
+        # Cut at the range's own zoom, whose levels above the range's length hold no segment of it.
         lo, hi = F.col(f"{a}0").cast("long"), F.col(f"{a}1").cast("long") + 1
-        n = shift_left(F.lit(1).cast("long"), F.col("z"))
-        spans = F.array(F.struct(lo.alias("lo"), hi.alias("hi")))
+        segments = dyadic_column(lo, hi, F.col("z"))
         if a == "x":
-            wrapped = F.array(F.struct(lo.alias("lo"), n.alias("hi")), F.struct(F.lit(0).cast("long").alias("lo"), hi.alias("hi")))
-            spans = F.when(F.col("x0") > F.col("x1"), wrapped).otherwise(spans)
-        df = df.withColumn("span", F.explode(spans))
-        # Cut on the axis of the finest zoom: a cell of zoom z there is an aligned block of 2**(30 - z).
-        up = F.lit(MAX_ZOOM) - F.col("z")
-        df = df.withColumn("seg", F.explode(dyadic_column(shift_left(F.col("span.lo"), up), shift_left(F.col("span.hi"), up), MAX_ZOOM)))
+            n = shift_left(F.lit(1).cast("long"), F.col("z"))
+            segments = F.when(F.col("x0") > F.col("x1"), F.concat(dyadic_column(lo, n, F.col("z")), dyadic_column(F.lit(0), hi, F.col("z")))).otherwise(segments)
+        df = df.withColumn("seg", F.explode(segments))
         df = df.withColumns({f"{a}z": F.col("seg.zoom"), f"{a}i": F.col("seg.index").cast("int")})
     if "t0" in ranges.columns:
         df = df.withColumn("seg", F.explode(dyadic_column(F.col("t0"), F.col("t1"), MAX_TIME_ZOOM))).withColumns({"tz": F.col("seg.zoom"), "ti": F.col("seg.index")})

@@ -75,24 +75,22 @@ def segments(start: int, end: int) -> list[tuple[int, int]]:
     return dyadic(start, end, MAX_TIME_ZOOM)
 
 
-def dyadic_column(lo: Column, hi: Column, zoom: int) -> Column:
-    """``array<struct<zoom, index>>``: the same cover as a native expression; at most 2 * zoom steps."""
-    kind = "struct<lo:bigint,out:array<struct<zoom:int,index:bigint>>>"
-    start = F.struct(lo.cast("long").alias("lo"), F.array().cast("array<struct<zoom:int,index:bigint>>").alias("out")).cast(kind)
-
-    def step(acc, _):
-        at = acc["lo"]
-        # Largest aligned block that fits: candidates from small to large.
-        k = F.aggregate(
-            F.sequence(F.lit(1), F.lit(zoom)),
-            F.lit(0),
-            lambda best, j: F.when((best == j - 1) & (F.lit(0).cast("long") == at % shift_left(F.lit(1).cast("long"), j)) & (at + shift_left(F.lit(1).cast("long"), j) <= hi), j).otherwise(best),
-        )
-        piece = F.array(F.struct((F.lit(zoom) - k).cast("int").alias("zoom"), shift_right(at, k).alias("index")))
-        more = F.struct((at + shift_left(F.lit(1).cast("long"), k)).alias("lo"), F.concat(acc["out"], piece).alias("out")).cast(kind)
-        return F.when(at >= hi, acc).otherwise(more)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * zoom)), start, step)["out"]
+def dyadic_column(lo: Column, hi: Column, zoom: Column | int) -> Column:
+    """``array<struct<zoom, index>>``: the same cover as a native expression, level by level, up to what fits the range.
+
+    A level has at most two segments: the first in the range if its index is odd, and the last if it is even.
+    """
+    kind = "array<struct<zoom:int,index:bigint>>"
+    lo, hi, zoom = lo.cast("long"), hi.cast("long"), (F.lit(zoom) if isinstance(zoom, int) else zoom).cast("int")
+    low, high = (lambda k: -shift_right(-lo, k)), (lambda k: shift_right(hi, k))
+    odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+    piece = lambda k, i: F.struct((zoom - k).cast("int").alias("zoom"), i.alias("index"))
+    deepest = F.least(zoom, F.length(F.bin(hi - lo)) - 1)
+    levels = F.sequence(F.lit(0), deepest)
+    first = F.transform(F.filter(levels, lambda k: (k < zoom) & (low(k) < high(k)) & odd(low(k))), lambda k: piece(k, low(k)))
+    last = F.transform(F.reverse(F.filter(levels, lambda k: (k < zoom) & (low(k) < high(k)) & odd(high(k)))), lambda k: piece(k, high(k) - 1))
+    whole = F.when((deepest == zoom) & (low(zoom) < high(zoom)), F.transform(F.sequence(low(zoom), high(zoom) - 1), lambda i: piece(zoom, i))).otherwise(F.array().cast(kind))
+    return F.when(lo < hi, F.concat(first.cast(kind), whole.cast(kind), last.cast(kind))).otherwise(F.array().cast(kind))
 
 
 def gcd_unit(t0: int, t1: int) -> int:
