@@ -168,3 +168,10 @@ def test_open_solids_are_found_in_a_batch(spark):
 def test_spheres_are_dealt_before_they_grow(spark):
     table = spark.range(100).coalesce(1).selectExpr("id AS shape_id", "35.0 + id / 10D AS lat", "139.0D AS lon", "20.0D AS alt", "30.0D AS radius")
     assert covers.cover_spheres(table, 19).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_open_edges_take_one_exchange(spark):
+    table = _grown(spark, "solid", 0, 5.0)
+    found = covers.open_edges(table.withColumn("faces", F.expr("if(shape_id = 17, slice(faces, 1, 5), faces)")), 1e-6)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["shape_id"]: r["open_edges"] for r in found.collect()} == {k: 4 if k == 17 else 0 for k in range(30)}

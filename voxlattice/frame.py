@@ -19,6 +19,10 @@ AXES = ("f", "x", "y")
 FLEX = ("fz", "fi", "xz", "xi", "yz", "yi", "tz", "ti")
 #: Cells that a refinement may make of one, unless the caller asks for more.
 MAX_GROWTH = 1 << 21
+#: Bytes of stored input, times the rows that come of one, that one task gets; in memory they are several times as many.
+TASK_BYTES = 8 << 20
+#: Sizes from here on are Spark's word for an unknown one.
+_UNKNOWN = 1 << 50
 
 
 @dataclass(frozen=True)
@@ -77,6 +81,26 @@ def cells_frame(df: DataFrame, z: int, timed: bool | None = None, valued: bool |
     return replace(out, df=df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in out.columns]))
 
 
+def tasks_for(df: DataFrame, growth: int = 1) -> int | None:
+    """Tasks among which rows of ``df`` are dealt where each grows to ``growth`` ones; None where few or unknown: AQE's choice.
+
+    What a task aggregates is held in its memory, so their number goes with the size of what is read. The session's number
+    of shuffle partitions is fixed, and AQE joins them by their size before the growth.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    size = 0
+    while leaves.hasNext():
+        size += int(str(leaves.next().stats().sizeInBytes()))
+    n = -(-size * growth // TASK_BYTES)
+    return n if size < _UNKNOWN and n > df.sparkSession.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, keys: list[str], growth: int = 1) -> DataFrame:
+    """Rows dealt out by ``keys`` in as many tasks as their size asks for; few rows stay where they are."""
+    n = tasks_for(df, growth)
+    return df if n is None else df.repartition(n, *keys)
+
+
 def _bounds(zoom: Column, index: Column, top: int) -> tuple[Column, Column]:
     one = F.lit(1).cast("long")
     width = shift_left(one, F.lit(top) - zoom)

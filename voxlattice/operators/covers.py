@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from voxlattice.domain import EARTH_A
 from voxlattice.errors import GeometryError
+from voxlattice.frame import tasks_for
 from voxlattice.functions import projection as P
 from voxlattice.operators import shapes
 
@@ -25,6 +26,8 @@ SHAPES = f"shape_id long, kind string, points array<{_POINT}>, faces array<array
 _BATCH = 100_000
 #: Voxels and shapes that are covered at once.
 _HELD, _TOGETHER = 500_000, 256
+#: Edges of a solid that are expected.
+_EDGES = 24
 
 
 def _array(points) -> np.ndarray:
@@ -239,7 +242,9 @@ def cover_spheres(table: DataFrame, z: int) -> DataFrame:
 
 def open_edges(table: DataFrame, epsilon: float) -> DataFrame:
     """``shape_id, open_edges`` of solids: edges that occur an odd number of times, counted by aggregation."""
-    faces = table.select("shape_id", F.posexplode("faces").alias("face", "ring"))
+    # All edges of a shape are dealt with it, before they grow: what follows needs no other exchange.
+    owners = table.select("shape_id", "faces").repartition(max(_deals(table), tasks_for(table, _EDGES) or 0), "shape_id")
+    faces = owners.select("shape_id", F.posexplode("faces").alias("face", "ring"))
     n = F.size("ring")
     edge = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.get("ring", k).alias("a"), F.get("ring", (k + 1) % n).alias("b")))
     edges = faces.where(n >= 3).select("shape_id", F.explode(edge).alias("e"))
