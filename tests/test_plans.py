@@ -117,3 +117,35 @@ def test_cancellation(spark):
     token.cancel()
     with pytest.raises(Cancelled):
         token.run(lambda: spark.range(3).count())
+
+
+def test_falloffs_in_a_row_share_one_exchange(spark):
+    cells = [(f, x, y, 7 * (f + x) + y) for f in (-2, 0, 1) for x in (0, 1, 63, 64, 255) for y in (0, 63, 64, 130, 255)]
+    f = frame(spark, cells, z=8)
+    q = Query.of(f).falloff_f(8, 2, "upper", LINEAR, MAX).falloff_x(8, 3, "both", LINEAR, MAX).falloff_y(7, 1, "both", LINEAR, SUM).falloff_x(8, 2, "lower", LINEAR, SUM)
+    single = f
+    for op in nodes_of(q):
+        single = op.run(single)
+    assert as_dict(q.run()) == as_dict(single)
+    assert q.run().df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def nodes_of(q):
+    ops, node = [], q.node
+    while hasattr(node, "op"):
+        ops, node = [node.op, *ops], node.input
+    return ops
+
+
+def test_tasks_follow_the_input(spark, tmp_path, monkeypatch):
+    from voxlattice import frame as frames
+    from voxlattice.sources import views
+
+    spark.range(50_000).selectExpr("id % 7 + 1 AS l_linenumber", "id % 900 AS l_partkey", "id % 800 AS l_suppkey", "id % 50 AS l_quantity", "'R' AS l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    tasks = lambda f: f.df.rdd.getNumPartitions()
+    few = as_dict(views.cells_li(spark, str(tmp_path)))
+    assert frames.tasks_for(views.cells_li(spark, str(tmp_path)).df) is None
+    monkeypatch.setattr(frames, "TASK_BYTES", 2048)
+    many = views.cells_li(spark, str(tmp_path))
+    assert tasks(many) >= 20 and as_dict(many) == few
+    assert tasks(Query.of(many).falloff_x(16, 2, "both", LINEAR, SUM).run()) >= 4 * tasks(many)
