@@ -149,3 +149,17 @@ def test_tasks_follow_the_input(spark, tmp_path, monkeypatch):
     many = views.cells_li(spark, str(tmp_path))
     assert tasks(many) >= 20 and as_dict(many) == few
     assert tasks(Query.of(many).falloff_x(16, 2, "both", LINEAR, SUM).run()) >= 4 * tasks(many)
+
+
+def test_directories_follow_the_size(spark, tmp_path):
+    from voxlattice.sources.tables import CellTable, write_cells
+
+    f = frame(spark, [(0, x, y, x + y) for x in range(0, 4096, 128) for y in range(0, 4096, 128)], z=12)
+    write_cells(f, str(tmp_path / "t"), 8)
+    assert len(list((tmp_path / "t").glob("sz=*/sx=*/sy=*"))) <= 64
+    table = CellTable(spark, str(tmp_path / "t"), 12, 8)
+    target = Range(12, x=(3000, 200), y=(100, 700))
+    assert as_dict(Query.of(table).lazy_get(target)) == {k: v for k, v in as_dict(f).items() if (k[1] >= 3000 or k[1] <= 200) and 100 <= k[2] <= 700}
+    # A table of before, without ``sz``.
+    f.cells().selectExpr("*", "shiftright(x, 4) AS sx", "shiftright(y, 4) AS sy").where("x % 1024 = 0 and y % 1024 = 0").write.partitionBy("sx", "sy").parquet(str(tmp_path / "old"))
+    assert set(as_dict(Query.of(CellTable(spark, str(tmp_path / "old"), 12, 8)).lazy_get(Range(12, x=(3000, 200), y=(1000, 2000))))) == {(0, 0, 1024), (0, 3072, 1024)}

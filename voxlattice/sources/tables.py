@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlattice.errors import UnsupportedFormat
-from voxlattice.frame import FLEX, VoxelFrame, cells_frame
+from voxlattice.frame import FLEX, VoxelFrame, cells_frame, tasks_for
+from voxlattice.functions.ids import shift_right
 from voxlattice.operators.lookups import Range, get_overlapping
 
 #: Written with each table; other versions are not read.
 FORMAT_VERSION = 1
+#: Small tables of cells have directories of this zoom at the finest.
+DIRECTORY_ZOOM = 3
 
 
 def working_folder(spark: SparkSession) -> str:
@@ -41,9 +44,18 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cells(frame: VoxelFrame, path: str, shard_zoom: int = 4) -> None:
-    d = frame.z - min(shard_zoom, frame.z)
-    df = frame.cells().withColumns({"sx": F.shiftright("x", d), "sy": F.shiftright("y", d)})
-    df.repartition("sx", "sy").sortWithinPartitions("sx", "sy", "x", "y", "f").write.mode("overwrite").partitionBy("sx", "sy").parquet(path)
+    """Directories ``sz/sx/sy``: a cell's column at zoom ``sz``, which is ``shard_zoom`` or as much coarser as the table is small.
+
+    A directory takes time to make and to list however little it holds, so their number goes with the size of the table.
+    Cells are dealt out by range: a task writes few directories, and one that holds much is written by several tasks.
+    """
+    top = min(shard_zoom, frame.z)
+    n = tasks_for(frame.df)
+    sz = min(top, max(DIRECTORY_ZOOM, ((n or 1).bit_length() + 1) // 2))
+    df = frame.cells().withColumns({"sz": F.lit(sz), "sx": F.shiftright("x", frame.z - sz), "sy": F.shiftright("y", frame.z - sz)})
+    keys = [F.col(c) for c in ("sx", "sy", "x", "y")]
+    df = df.repartitionByRange(*keys) if n is None else df.repartitionByRange(n, *keys)
+    df.sortWithinPartitions("sx", "sy", "x", "y", "f").write.mode("overwrite").partitionBy("sz", "sx", "sy").parquet(path)
 
 
 class CellTable:
@@ -56,13 +68,15 @@ class CellTable:
         df = self.spark.read.parquet(self.path)
         if ranges is None:
             return cells_frame(df, self.z)
+        # Tables of before have no ``sz``; their directories are of ``shard_zoom``.
+        up = F.lit(self.shard_zoom) - (F.col("sz") if "sz" in df.columns else F.lit(self.shard_zoom))
         hit = F.lit(False)
         for r in ranges:
             one = F.lit(True)
             for column, axis in (("sx", "x"), ("sy", "y")):
                 part = F.lit(False)
                 for a, b in r.spans(axis, self.shard_zoom):
-                    part = part | F.col(column).between(a, b - 1)
+                    part = part | F.col(column).between(shift_right(F.lit(a), up), shift_right(F.lit(b - 1), up))
                 one = one & part
             hit = hit | one
         return get_overlapping(cells_frame(df.where(hit), self.z), ranges)
