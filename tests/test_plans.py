@@ -58,6 +58,14 @@ def test_lazy_get_around_the_seam(spark):
     assert along_x(q.lazy_get(Range(1, x=(1, 0)))) == along_x(q.run()) == {0: 7}
 
 
+def test_lazy_get_of_cells_off_the_axis(spark):
+    q = Query.of(frame(spark, [(0, 20, 0, 4), (0, 16 + 3, 0, 7), (0, -10, 0, 9)], z=4)).shift_x(4, 1).falloff_x(4, 2, "upper", LINEAR, SUM)
+    whole, part = along_x(q.run()), Range(4, x=(4, 6))
+    assert along_x(q.lazy_get(part)) == {x: v for x, v in whole.items() if 4 <= x <= 6} == {4: 7, 5: 7, 6: 2}
+    assert along_x(q.lazy_get_with_default(Range(4, f=(0, 0), x=(4, 6), y=(0, 0)), 0)) == {4: 7, 5: 7, 6: 2}
+    assert along_x(Query.of(frame(spark, [(0, 20, 0, 4)], z=4)).lazy_get(part)) == {}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_within_equals_clipped_run(spark, seed):
     rng = random.Random(seed)
