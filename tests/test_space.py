@@ -136,6 +136,13 @@ def test_lookups_of_far_zooms(spark):
     assert values(lookups.blocks_overlapping(fa, fb.limit(0))) == []
 
 
+def test_faces_of_blocks_off_the_axis(spark):
+    """x past the axis is taken around it where blocks meet end to end, and as it stands where they overlap."""
+    cells = [(4, 0, 4, 20, 4, 7, 0, 0, 1), (4, 1, 4, 20, 4, 6, 0, 0, 2), (4, 0, 4, 5, 4, 6, 0, 0, 3), (4, 0, 4, 3, 4, 6, 0, 0, 4), (4, 0, 4, 4, 4, 7, 0, 0, 5)]
+    found = lookups.blocks_sharing_face(blocks(spark, cells), blocks(spark, [(4, 0, 4, 20, 4, 6, 0, 0, 9)]))
+    assert sorted(r["value"] for r in found.collect()) == [1, 2, 3]
+
+
 def test_canonical_form(spark):
     cube = [(a, b, c, 5) for a in (0, 1) for b in (2, 3) for c in (6, 7)]
     got = [tuple(r) for r in canonicalize(frame(spark, cube, z=4), 2, 0).collect()]
