@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxlattice.domain import check_index, check_zoom, limits
 from voxlattice.errors import InvalidQueryParameter
-from voxlattice.frame import AXES, VoxelFrame, tasks_for
+from voxlattice.frame import AXES, VoxelFrame, dealt, tasks_for
 from voxlattice.functions.ids import shift_left, shift_right
 from voxlattice.operators.policies import _BOUNDS, MergePolicy, truncated_division
 
@@ -93,6 +93,8 @@ LANE_TILE = 1 << 16
 #: Cells of a tile along each axis in which several falloffs run, unless they reach far.
 TILE = 64
 LINEAR, QUADRATIC_IN, QUADRATIC_OUT = Pattern("Linear"), Pattern("QuadraticIn"), Pattern("QuadraticOut")
+#: Zooms that a coarsening may span for its rows to be dealt out by its result's cells: no key has more than 8**7 rows.
+DEALT_ZOOMS = 7
 DIRECTIONS = {"both": (-1, 1), "upper": (0, 1), "lower": (-1, 0)}
 
 
@@ -201,6 +203,8 @@ def falloffs(frame: VoxelFrame, steps: list) -> VoxelFrame:
 def zoom_out(frame: VoxelFrame, z: int, policy: MergePolicy, weight: str = "cell") -> VoxelFrame:
     """Parents at zoom z, equal ones resolved by ``policy``.
 
+    Rows are dealt out by parent in as many tasks as their size asks for, so what a task holds does not grow. Parents of
+    more than ``DEALT_ZOOMS`` zooms, which may be few and large, are combined in place first, in the session's partitions.
     ``weight="cell"`` folds unit cells; ``"block"`` folds the canonical blocks, where eight equal children are
     one. They differ for Sum and Average only.
     """
@@ -228,16 +232,31 @@ def zoom_out(frame: VoxelFrame, z: int, policy: MergePolicy, weight: str = "cell
     if policy.commutative or policy.name == "Average":
         df = df.drop("seq")
         order = F.lit(0)
+    if d <= DEALT_ZOOMS:
+        df = dealt(df, frame.keys)
     return frame.over(df.groupBy(*frame.keys).agg(policy.aggregate(F.col("value"), order, value_kind(frame)).alias("value")), z=z)
 
 
 def pyramid(frame: VoxelFrame, levels: list[int], policy: MergePolicy):
-    """Several zoom levels at once: ``z, f, x, y[, t0, t1], value`` in one aggregation."""
+    """Several zoom levels at once: ``z, f, x, y[, t0, t1], value`` in one aggregation.
+
+    Rows are dealt out by tile before they are multiplied by the levels; a tile is a cell of the coarsest of them, so the
+    aggregation needs no other exchange and a task holds what its share of the input grows to.
+    """
     if any(level > frame.z for level in levels):
         raise InvalidQueryParameter("a pyramid's levels are at most the frame's zoom")
-    df = frame.df.withColumn("seq", _order(frame)).withColumn("z", F.explode(F.array(*map(F.lit, levels))))
+    df, tile = frame.df.withColumn("seq", _order(frame)), []
+    if policy.commutative or policy.name == "Average":
+        df = df.withColumn("seq", F.lit(0))
+    if levels and frame.z - min(levels) <= DEALT_ZOOMS:
+        tile = [f"tile_{a}" for a in AXES]
+        df = df.withColumns({f"tile_{a}": F.shiftright(a, frame.z - min(levels)) for a in AXES})
+        df = dealt(df, tile, len(levels))
+    df = df.withColumn("z", F.explode(F.array(*map(F.lit, levels))))
     df = df.withColumns({a: shift_right(F.col(a), F.lit(frame.z) - F.col("z")) for a in AXES})
-    return df.groupBy("z", *frame.keys).agg(policy.aggregate(F.col("value"), F.col("seq"), value_kind(frame)).alias("value"))
+    keys = ["z", *frame.keys]
+    out = df.groupBy(*tile, *keys).agg(policy.aggregate(F.col("value"), F.col("seq"), value_kind(frame)).alias("value"))
+    return out.select(*keys, "value")
 
 
 @dataclass(frozen=True)
