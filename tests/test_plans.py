@@ -159,6 +159,26 @@ def test_tasks_follow_the_input(spark, tmp_path, monkeypatch):
     assert tasks(Query.of(many).falloff_x(16, 2, "both", LINEAR, SUM).run()) >= 4 * tasks(many)
 
 
+def test_tasks_of_coarsenings_follow_the_input(spark, tmp_path, monkeypatch):
+    from voxlattice import frame as frames
+    from voxlattice import queries
+    from voxlattice.operators import transforms
+    from voxlattice.sources import views
+
+    spark.range(50_000).selectExpr("id % 7 + 1 AS l_linenumber", "id % 900 AS l_partkey", "id % 800 AS l_suppkey", "id % 50 AS l_quantity", "'R' AS l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    def coarse():
+        f = views.cells_li(spark, str(tmp_path))
+        outs = [transforms.zoom_out(f, 12, MAX).cells(), transforms.zoom_out(f, 4, AVERAGE).cells(), transforms.pyramid(f, [10, 12, 14], MAX), transforms.pyramid(f, [4, 14], AVERAGE), queries.QUERIES["block_ancestors"](spark, str(tmp_path))]
+        return [sorted(map(tuple, df.collect())) for df in outs], [df.rdd.getNumPartitions() for df in outs]
+
+    few, _ = coarse()
+    monkeypatch.setattr(frames, "TASK_BYTES", 2048)
+    many, tasks = coarse()
+    assert many == few
+    assert min(tasks[0], tasks[4]) >= 20 and tasks[2] >= 3 * tasks[0] - 3
+
+
 def test_directories_follow_the_size(spark, tmp_path):
     from voxlattice.sources.tables import CellTable, write_cells
 

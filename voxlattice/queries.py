@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlattice.domain import CALENDAR
-from voxlattice.frame import VoxelFrame, to_blocks
+from voxlattice.frame import VoxelFrame, dealt, to_blocks
 from voxlattice.functions import codecs, flex, ids, timeaxis
 from voxlattice.functions import projection as P
 from voxlattice.operators import coalesce, lookups, sets, shards, transforms, writes
@@ -244,7 +244,7 @@ _register(
 )
 _register("range_blocks", lambda s, d: flex.from_ranges(_cells(s, d).select("z", F.col("f").alias("f0"), F.col("f").alias("f1"), F.col("x").alias("x0"), (F.col("x") + 4).alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))).groupBy(F.col("fi").alias("f"), F.col("yi").alias("y")).agg(F.sum(F.pow(F.lit(2.0), 16 - F.col("xz"))).cast("bigint").alias("cells")), "SELECT f, y, CAST(5 * count(*) AS BIGINT) AS cells FROM cells_li GROUP BY f, y")
 _register("block_shards", lambda s, d: flex.to_shards(to_blocks(cells_li(s, d)), (10, 10, 10)).groupBy("sf", "sx", "sy").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(f >> 6 AS INT) sf, CAST(x >> 6 AS INT) sx, CAST(y >> 6 AS INT) sy, count(*) n FROM cells_li GROUP BY ALL")
-_register("block_ancestors", lambda s, d: flex.clamp_zoom(to_blocks(cells_li(s, d)), 12).groupBy("fz", "fi", "xz", "xi", "yz", "yi").agg(F.max("value").alias("value")), "SELECT 12 fz, CAST(f >> 4 AS INT) fi, 12 xz, CAST(x >> 4 AS INT) xi, 12 yz, CAST(y >> 4 AS INT) yi, max(value) AS value FROM cells_li GROUP BY ALL")
+_register("block_ancestors", lambda s, d: dealt(flex.clamp_zoom(to_blocks(cells_li(s, d)), 12), ["fi", "xi", "yi"]).groupBy(*flex.FLEX[:6]).agg(F.max("value").alias("value")), "SELECT 12 fz, CAST(f >> 4 AS INT) fi, 12 xz, CAST(x >> 4 AS INT) xi, 12 yz, CAST(y >> 4 AS INT) yi, max(value) AS value FROM cells_li GROUP BY ALL")
 _register("with_time_at", lambda s, d: views._table(s, d, "events").select("event_id", ids.with_time_at(3600, F.unix_timestamp("ts")).alias("c")).select("event_id", "c.*"), "SELECT event_id, CAST(3600 AS BIGINT) i, CAST(floor(epoch(ts) / 3600) AS BIGINT) t FROM events")
 
 _SPAN = "SELECT event_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS t0, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 + 3600 * (1 + event_id % 4) AS t1 FROM events"
