@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from helpers import along_x, as_dict, frame
 from pyspark.sql import functions as F
@@ -143,6 +144,18 @@ def test_faces_of_blocks_off_the_axis(spark):
     assert sorted(r["value"] for r in found.collect()) == [1, 2, 3]
 
 
+def test_labels_of_nodes():
+    from voxlattice.operators.canonical import _labels
+
+    rng = random.Random(7)
+    for ends in ((-2, 2), (-(1 << 31), (1 << 31) - 1)):
+        pool = [rng.randint(*ends) for _ in range(6)] + list(ends)
+        rows = np.array([[rng.choice(pool) for _ in range(3)] for _ in range(400)], np.int64)
+        own, by_rows = _labels(list(rows.T)), np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)
+        assert len(set(own)) == len(set(zip(own, by_rows))) == len(set(by_rows)) and own.max() + 1 == len(set(own))
+    assert len(_labels([np.zeros(0, np.int64)] * 3)) == 0
+
+
 def test_canonical_form(spark):
     cube = [(a, b, c, 5) for a in (0, 1) for b in (2, 3) for c in (6, 7)]
     got = [tuple(r) for r in canonicalize(frame(spark, cube, z=4), 2, 0).collect()]

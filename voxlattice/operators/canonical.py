@@ -40,6 +40,18 @@ def _hash(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
+def _labels(columns: list[np.ndarray]) -> np.ndarray:
+    """Numbers from 0 that are equal where all columns are; two columns at a time are packed into one, which sorts fast."""
+    label = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        if not len(c):
+            return label
+        # Labels are below the number of rows and indices below 2**32, so that the product stays in 64 bits.
+        low = c.min()
+        label = np.unique(label * (int(c.max() - low) + 1) + (c - low), return_inverse=True)[1].reshape(-1)
+    return label
+
+
 def merge_levels(zoom: np.ndarray, index: np.ndarray, value: np.ndarray, frozen: np.ndarray, top: int, bottom: int) -> np.ndarray:
     """Merge blocks in place from zoom ``bottom`` up to below zoom ``top``; returns which rows remain.
 
@@ -58,7 +70,7 @@ def merge_levels(zoom: np.ndarray, index: np.ndarray, value: np.ndarray, frozen:
                 path.append(np.where(z > d, i >> np.maximum(z - d, 0), i << np.maximum(d - z, 0)))
             # A row coarser than the node along another axis stands in every node that it crosses; it was merged
             # there at a deeper level, so all of its nodes look alike and the first of them speaks for it.
-            node = np.unique(np.stack(path, 1), axis=0, return_inverse=True)[1].reshape(-1)
+            node = _labels(path)
             own_z = zoom[rows, axis]
             upper = (np.where(own_z >= depth, index[rows, axis] >> np.maximum(own_z - depth, 0), 0) & 1).astype(bool)
             others = [a for a in range(3) if a != axis]
